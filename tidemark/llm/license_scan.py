@@ -91,37 +91,35 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded_alignment(template: Sequence, words: Sequence, low: int, high: int) -> list[tuple[int, int]]:
-    """Matched pairs (template position, word position) of the alignment with most matches whose diagonals, word position
-    less template position, are in low..high. Of as many matches the one that ends first, with the last possible steps back.
+    """Matched pairs (template position, word position) of an alignment with most matches among those whose diagonals,
+    word position less template position, are in low..high. Words of either may be left out anywhere at no cost.
     """
-    n, width = len(template), high - low + 1
-    score = [[0] * width for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        word, above, row = template[i - 1], score[i - 1], score[i]
-        for d in range(width):
-            j = i + low + d  # words before j take part
-            if j < 0 or j > len(words):
-                row[d] = -1
-                continue
-            best = above[d + 1] if d + 1 < width else -1  # template word left out
-            if j and d and row[d - 1] > best:  # document word left out
+    width = high - low + 1
+    if width < 1:
+        return []
+    scores = [[0] * (width + 1)]  # a column more, of zeros, stands for what is above the band
+    for i, word in enumerate(template, 1):
+        above, row = scores[-1], [0] * (width + 1)
+        for d in range(max(0, 1 - i - low), width):
+            j = i + low + d
+            best = above[d + 1]
+            if d and row[d - 1] > best:
                 best = row[d - 1]
-            if j and above[d] >= 0:
-                got = above[d] + (words[j - 1] == word)
-                best = max(best, got)
-            row[d] = max(best, 0)
-    d = max(range(width), key=lambda x: (score[n][x], -x))
-    out, i = [], n
-    while i:
-        j = i + low + d
-        if 0 < j <= len(words) and words[j - 1] == template[i - 1] and score[i][d] == max(score[i - 1][d], 0) + 1:
-            out.append((i - 1, j - 1))
-            i -= 1
-        elif d and j > 0 and score[i][d] == score[i][d - 1]:
+            if j <= len(words) and words[j - 1] == word and above[d] >= best:
+                best = above[d] + 1
+            row[d] = best
+        scores.append(row)
+    i = len(template)
+    d = max(range(width), key=lambda x: (scores[i][x], -x))
+    out = []
+    while scores[i][d]:
+        j, here = i + low + d, scores[i][d]
+        if d and scores[i][d - 1] == here:
             d -= 1
-        elif d + 1 < width and score[i][d] == max(score[i - 1][d + 1], 0):
+        elif scores[i - 1][d + 1] == here:
             i, d = i - 1, d + 1
         else:
+            out.append((i - 1, j - 1))
             i -= 1
     return out[::-1]
 
@@ -183,18 +181,21 @@ class TemplateIndex:
                 groups[-1].append(d)
             else:
                 groups.append([d])
-        found = []
+        found, bag = [], self.bags[k]
         for g in groups:
             low, high = g[0] - self.band, g[-1] + self.band
-            start = max(0, low)
-            around = words[start : max(start, high + len(own))]
-            bag = self.bags[k]
-            got = Counter(w for w in around if w in bag)
-            if sum((got & bag).values()) < least or any(not got[w] for w in template.needed):
-                continue
-            pairs = banded_alignment(own, around, low - start, high - start)
-            if len(pairs) >= least and {*template.needed} <= {own[i] for i, _ in pairs}:
-                found.append(Match(template, len(pairs), len(pairs) / len(own), pairs[0][1] + start, pairs[-1][1] + start))
+            todo = [(max(0, low), min(len(words), high + len(own)))]
+            while todo:  # what is left and right of a match may hold another one
+                start, stop = todo.pop()
+                around = words[start:stop]
+                got = Counter(w for w in around if w in bag)
+                if sum((got & bag).values()) < least or any(not got[w] for w in template.needed):
+                    continue
+                pairs = banded_alignment(own, around, low - start, high - start)
+                if len(pairs) >= least and {*template.needed} <= {own[i] for i, _ in pairs}:
+                    first, last = pairs[0][1] + start, pairs[-1][1] + start
+                    found.append(Match(template, len(pairs), len(pairs) / len(own), first, last))
+                    todo += [(start, first), (last + 1, stop)]
         return found
 
 
