@@ -1,0 +1,75 @@
+import hashlib
+import random
+
+import pytest
+
+from tidemark.llm._common import BLANKS, ascii_lower
+from tidemark.llm.line_runs import LineRuns, dedup_lines, hashed_lines
+
+ROWS = [
+    (3, "Shared line number one\nshort\nonly here, long enough"),
+    (1, "  shared LINE number one\t\nshort\n\nshared line number one"),
+    (2, "short\nShared Line Number One"),
+    (5, None), (6, ""), (7, "exactly10c\nninechars"), (8, "exactly10c\nninechars"), (9, "ÉTÉ ÉTÉ ÉTÉ\nété été été"), (10, "été été été"),
+    (None, "Shared line number one"), (11, "twice in one\ntwice in one"), (11, "twice in one"), (12, "end of a line\n"), (13, "end of a line\n"),
+]
+
+
+def brute(rows):
+    key = lambda x: ascii_lower(x.strip(BLANKS))
+    owner, holders = {}, {}
+    for i, t in rows:
+        if i is not None:
+            for line in (t or "").split("\n"):
+                if len(key(line)) >= 10:
+                    owner[key(line)] = min(i, owner.get(key(line), i))
+                    holders.setdefault(key(line), set()).add(i)
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if i is None or len(key(x)) < 10 or len(holders[key(x)]) < 2 or owner[key(x)] == i]
+        out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return sorted(out, key=str)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _hash long, _drops string").repartition(3)
+
+
+@pytest.mark.parametrize("batches, fanout", [(1, 2), (4, 3), (5, 2)])
+def test_equals_brute_force(spark, batches, fanout):
+    rng = random.Random(2)
+    more = [(20 + k, "\n".join(rng.choice(["a common line here", "another long line", f"own line {k} {n}", "tiny", ""]) for n in range(6))) for k in range(60)]
+    rows = [*ROWS, *more]
+    got = dedup_lines(frame(spark, rows), batches=batches, fanout=fanout).collect()
+    assert sorted(((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["_kept"]) for r in got), key=str) == brute(rows)
+
+
+def test_carry_brings_all_columns_and_empty_tables_work(spark):
+    docs = frame(spark, ROWS)
+    out = dedup_lines(docs, carry=True)
+    assert {r["_row"]["_drops"] for r in out.collect()} == {"x"}
+    assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_levels_compact(spark):
+    runs = LineRuns(spark, fanout=2)
+    for k in range(5):
+        docs = spark.createDataFrame([(k, f"a line of batch {k}\nthe same line always")], "doc_id long, text string")
+        drops = runs.add(hashed_lines(docs)).count()
+        assert drops == (k > 0)
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    assert runs.known().count() == 6
+    assert runs.add(hashed_lines(docs.limit(0))).count() == 0
+    with pytest.raises(ValueError):
+        LineRuns(spark, fanout=1)
+
+
+def test_hash_of_kept_text(spark):
+    from tidemark.llm.registry import op6_line_dedup
+
+    got = op6_line_dedup(spark, "/root/testdata/sf0.001")
+    assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+    row = got.where("n_dropped = 0").first()
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where(f"doc_id = {row['doc_id']}").first()["text"]
+    assert row["kept_sha256"] == hashlib.sha256(text.encode()).hexdigest()
