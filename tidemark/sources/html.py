@@ -6,6 +6,7 @@ the first-wins rule are Column expressions on what it returns.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -21,8 +22,6 @@ from tidemark.operators.schema import category_id_of, category_issue
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "template"))
-#: Longest nesting that is kept as such; deeper elements become siblings, so a hostile page can't exhaust the stack.
-MAX_DEPTH = 400
 
 # Where the fields of a notice are; of a tuple the first with text counts.
 TITLE = (".title", ".notice-title", "[data-title]")
@@ -39,7 +38,7 @@ ATTACHED = ("a[href]", "iframe[src]", "embed[src]", "object[data]", ".attachment
 
 
 class Element:
-    """A tag with its attributes and children: elements, text, and marked sections as (kind, text)."""
+    """A tag with its attributes and children: elements, text, and marked sections as (kind, text). No walk recurses, so depth is no danger."""
 
     __slots__ = ("attrs", "children", "name")
 
@@ -120,12 +119,14 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.top = Element("", {})
         self.open = [self.top]
+        self.names: Counter[str] = Counter()  # of open elements, so that an end tag without a start costs nothing
 
     def handle_starttag(self, tag, attrs):
         own = Element(tag, {k: v or "" for k, v in reversed(attrs)})
         self.open[-1].children.append(own)
-        if tag not in _VOID and len(self.open) < MAX_DEPTH:
+        if tag not in _VOID:
             self.open.append(own)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -133,9 +134,10 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].name == tag:
-                del self.open[i:]
+        while self.names[tag]:
+            closed = self.open.pop().name
+            self.names[closed] -= 1
+            if closed == tag:
                 return
 
     def handle_data(self, data):
