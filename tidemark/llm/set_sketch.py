@@ -7,8 +7,8 @@
 3. In each bucket all nodes are compared with its smallest. The joint likelihood of greater, equal and smaller
    registers estimates the similarity; pairs far below the threshold go, the others are confirmed on full sets.
 4. Confirmed links are joined to components. In buckets that still hold several components, the pairs between
-   components are compared in blocks of bounded size, by likelihood first, then on full sets. So no bucket is
-   capped, and pairs inside a component are never listed.
+   components are compared in blocks of bounded size, by likelihood first, then on full sets, and only links that
+   join components leave a block. So no bucket is capped, and pairs inside a component are never listed.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from tidemark.llm._common import WordHashes, ascii_lower, documents_of, material
 SHINGLE = 5
 BANDS, ROWS = 26, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
-BLOCK = 512
+BLOCK = 256
 #: Members of one bucket's smallest node that a task compares.
 SALT_ROWS = 2_000
 
@@ -89,6 +89,14 @@ def estimated_similarity(ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.
     return (low + high) / 2
 
 
+def likely_at_least(cut: float, ka: np.ndarray, kb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Whether the maximum-likelihood similarity is at least cut: the likelihood still rises there. No search is needed."""
+    plus, minus = (ka > kb).sum(-1), (ka < kb).sum(-1)
+    u = na / (na + nb)
+    v = 1 - u
+    return (np.minimum(u / v, v / u) >= cut) & (likelihood_slope(cut, u, v, plus, minus, ka.shape[-1] - plus - minus) >= 0)
+
+
 def prune_below(threshold: float, m: int) -> float:
     """Estimates under this are dropped before the full sets are compared: 4.5 standard errors below the threshold."""
     return max(0.0, threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / m))
@@ -147,7 +155,7 @@ def _likely(threshold: float, m: int):
             at = {f: i for i, f in enumerate(batch.schema.names)}
             na, nb = (batch.column(at[c]).to_numpy().astype(float) for c in ("na", "nb"))
             ka, kb = (np.frombuffer(b"".join(batch.column(at[c]).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("ra", "rb"))
-            good = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (estimated_similarity(ka, kb, na, nb) >= cut)
+            good = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & likely_at_least(cut, ka, kb, na, nb)
             yield pa.RecordBatch.from_arrays([batch.column(at["a"]), batch.column(at["b"])], names=["a", "b"]).filter(pa.array(good))
 
     return run
@@ -191,69 +199,83 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
     return asked.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirmed(percent, size), "a long, b long")
 
 
-def _blocks(percent: int, bands: int, rows: int):
-    """Pairs between components in one bucket's pair of blocks, by likelihood; only in the first band that a pair shares."""
-    m = bands * rows
-    threshold = percent / 100
-    cut = prune_below(threshold, m)
+def _blocks(percent: int, bands: int, rows: int, size: int):
+    """Links between components in one bucket's pair of blocks. A pair is compared in the first band that it shares,
+    and not if one of the two is the bucket's head, which was compared with all. Links found here join components."""
+    cut = prune_below(percent / 100, bands * rows)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    hashes = WordHashes()
 
     def compared(bucket: int, members: list[tuple]) -> list[tuple[int, int]]:
-        left = [r for r in members if r[0] in (0, 2)]
+        left = [r for r in members if r[0] != 1]
         right = left if left and left[0][0] == 2 else [r for r in members if r[0] == 1]
         if not left or not right:
             return []
-        node, comp, n = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3))
-        regs = np.frombuffer(b"".join(r[4] for r in right), np.uint16).reshape(len(right), -1)
-        keys = band_keys(regs, bands, rows)
+        node, comp, head, n = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3, 4))
+        regs = np.frombuffer(b"".join(r[5] for r in right), np.uint16).reshape(len(right), -1)
+        own = np.frombuffer(b"".join(r[5] for r in left), np.uint16).reshape(len(left), -1)
+        keys, own_keys = band_keys(regs, bands, rows), band_keys(own, bands, rows)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        sets: dict[int, np.ndarray] = {}
+
+        def of(row: tuple) -> np.ndarray:
+            if row[1] not in sets:
+                sets[row[1]] = shingle_set(row[6], hashes, size)
+            return sets[row[1]]
+
         out = []
-        for side, a, comp_a, na, blob in left:
-            ka = np.frombuffer(blob, np.uint16)[None]
-            able = (comp != comp_a) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na))
+        for i, (side, a, comp_a, _, na, _, _) in enumerate(left):
+            able = (comp != comp_a) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na)) & (node != head) & (a != head)
             if side == 2:
                 able &= node > a
-            rows_ = np.flatnonzero(able)
-            if len(rows_):
-                shared = keys[rows_] == band_keys(ka, bands, rows)
-                first = shared.argmax(1)
-                rows_ = rows_[keys.view(np.int64)[rows_, first] == bucket]
-            if len(rows_):
-                size = np.full(len(rows_), float(na))
-                rows_ = rows_[estimated_similarity(np.broadcast_to(ka, (len(rows_), m)), regs[rows_], size, n[rows_].astype(float)) >= cut]
-                out += [(min(a, int(b)), max(a, int(b))) for b in node[rows_]]
+            at = np.flatnonzero(able)
+            if len(at):
+                first = (keys[at] == own_keys[i]).argmax(1)
+                at = at[keys.view(np.int64)[at, first] == bucket]
+            if len(at):
+                at = at[likely_at_least(cut, np.broadcast_to(own[i], (len(at), own.shape[1])), regs[at], np.full(len(at), float(na)), n[at].astype(float))]
+            for k in at.tolist():
+                x, y = root(comp_a), root(int(comp[k]))
+                if x != y and linked(of(left[i]), of(right[k]), percent):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((a, int(node[k])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
+
+        def done() -> pa.RecordBatch:
+            found = compared(key[0], members) if key is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 if row[:3] != key:
-                    if key is not None:
-                        out += compared(key[0], members)
+                    yield done()
                     key, members = row[:3], []
                 members.append(row[3:])
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
-        if key is not None:
-            out = compared(key[0], members)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+        yield done()
 
     return run
 
 
-def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in a bucket of three nodes or more."""
-    from pyspark.sql import Window
-
+def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a bucket of three nodes or more."""
     named = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed_ = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi AND size > 2")
+    several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi AND size > 2")
     # Blocks by hash: as many as bring each to about BLOCK nodes.
-    inside = named.join(mixed_, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    inside = named.join(several, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = inside.select("bucket", "node", "comp", "block", other).join(nodes, "node")
+    spread = inside.select("bucket", "node", "comp", "head", "block", other).join(nodes, "node").join(texts, "node")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "n", "regs")
-    return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent, bands, rows), "a long, b long").distinct()
+    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "head", "n", "regs", "text")
+    return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent, bands, rows, size), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -265,7 +287,7 @@ def components(links: DataFrame) -> DataFrame:
     def step(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(small, "a")
         return hung.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -310,21 +332,19 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
         .join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
         .select("a", "b", "na", "nb", "ra", "rb")
         .mapInArrow(_likely(threshold, m), "a long, b long")
-        .distinct()
     )
     likely = materialize(likely, "likely")
     texts = materialize(buckets.select("node").distinct().join(plain.withColumnRenamed("doc_id", "node"), "node"), "texts")
-    links = materialize(_confirm(likely, texts, percent, size).distinct(), "links")
-    labels = components(links)
-    rest = materialize(_between_components(buckets.select("bucket", "node").distinct(), labels, sketches, percent, bands, rows).join(likely, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        labels = components(links.union(_confirm(rest, texts, percent, size)))
+    labels = components(_confirm(likely, texts, percent, size))
+    more = materialize(_between_components(buckets, labels, sketches, texts, percent, bands, rows, size), "more")
+    if more.limit(1).count():
+        labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
     # Equal sets share a node; a document with several texts joins their nodes.
     own = able.select("doc_id", "same").distinct().join(nodes.select("same", "node"), "same").select("doc_id", "node")
     if own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").limit(1).count():
         extra = own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a != b").union(extra))
     where_ = nodes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("comp", "node").alias("component_id"))
-    got = rows_.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(where_.dropDuplicates(["same"]), "same", "left")
+    got = rows_.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(where_, "same", "left")
     component = F.coalesce("component_id", "doc_id")
     return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
