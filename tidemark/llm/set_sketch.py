@@ -28,8 +28,10 @@ SHINGLE = 5
 BANDS, ROWS = 26, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 2**16 - 2
 BLOCK = 256
+#: Number of the first block of a bucket's largest component.
+APART = 1_000_000
 #: Members of one bucket's smallest node that a task compares.
-SALT_ROWS = 2_000
+SALT_ROWS = 200
 
 
 def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -266,12 +268,22 @@ def _blocks(percent: int, bands: int, rows: int, size: int):
 
 
 def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
-    """Confirmed links (a, b) between different components that share a bucket of three nodes or more."""
+    """Confirmed links (a, b) between different components that share a bucket of three nodes or more.
+
+    A bucket's largest component is not compared with itself: its nodes and the others are put into blocks apart, and
+    only pairs of blocks of which one is of the others meet.
+    """
     named = buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    several = named.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi AND size > 2")
-    # Blocks by hash: as many as bring each to about BLOCK nodes.
-    inside = named.join(several, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    shares = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    several = shares.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("most"), F.sum("n").alias("size")).where("most < size AND size > 2")
+    inside = named.join(several, "bucket").withColumn("apart", F.col("comp") == F.col("largest"))
+    # Blocks by hash: as many as bring each to about BLOCK nodes. Those of the largest component are numbered from APART.
+    own_blocks = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
+    large_blocks = F.ceil(F.col("most") / BLOCK).cast("int")
+    place = F.pmod(F.xxhash64("node", F.lit(3)), F.when(F.col("apart"), large_blocks).otherwise(own_blocks)).cast("int")
+    inside = inside.withColumn("block", place + F.when(F.col("apart"), APART).otherwise(0))
+    own, large = F.sequence(F.lit(0), own_blocks - 1), F.sequence(F.lit(APART), large_blocks + (APART - 1))
+    other = F.explode(F.when(F.col("apart"), own).otherwise(F.concat(own, large))).alias("other")
     spread = inside.select("bucket", "node", "comp", "head", "block", other).join(nodes, "node").join(texts, "node")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "head", "n", "regs", "text")
