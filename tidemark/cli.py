@@ -37,6 +37,9 @@ def logger(level: str) -> logging.Logger:
     return log
 
 
+# Event names and keys of the log lines.
+
+
 def log_run(log: logging.Logger, result: RunResult, run: Row | None) -> None:
     """Counters and outcome of a run, nothing of what was fetched."""
     log.info(
