@@ -28,6 +28,8 @@ CAPACITY = 1024
 #: Appended to every document.
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
+#: Added to a fitted count before it is cut to a whole number.
+ROUNDINGS = (0.5, 0.25, 0.0)
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
 
@@ -148,30 +150,23 @@ def fitted_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200
     return x
 
 
-def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
-    """For each length its runs (first rank, how many, first sequence, offset), and the number of sequences."""
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        if not 1 <= length <= capacity:
-            raise ValueError(f"length {length} is not in 1..{capacity}")
-        left[length] += n
-    groups: list[tuple[int, tuple[int, ...]]] = []  # (sequences, their lengths)
+def _groups(left: np.ndarray, patterns: np.ndarray, x: np.ndarray, rounding: float, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(sequences, their lengths): patterns by falling count, which is rounded and cut to what is there, then the residual."""
+    left = left.copy()
+    groups: list[tuple[int, tuple[int, ...]]] = []
     if left[capacity]:
         groups.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
-    patterns = exact_patterns(np.flatnonzero(left), capacity)
-    if len(patterns):
-        x = fitted_counts(patterns, left)
-        for p in np.argsort(-x, kind="stable"):
-            repeats = int(x[p] + 0.5)
-            if not repeats:
-                break
-            own = [int(v) for v in patterns[p] if v]
-            repeats = min(repeats, *(int(left[v]) // own.count(v) for v in own))
-            if repeats:
-                groups.append((repeats, tuple(own)))
-                for v in own:
-                    left[v] -= repeats
+    for p in np.argsort(-x, kind="stable"):
+        repeats = int(x[p] + rounding)
+        if not repeats:
+            break
+        own = [int(v) for v in patterns[p] if v]
+        repeats = min(repeats, *(int(left[v]) // own.count(v) for v in own))
+        if repeats:
+            groups.append((repeats, tuple(own)))
+            for v in own:
+                left[v] -= repeats
     # Best fit, longest first, on the residual: room[r] holds groups of sequences with r ids of room.
     room: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(capacity + 1)]
     for length in range(capacity, 0, -1):
@@ -197,7 +192,22 @@ def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[d
                 full, n = full + 1, 0
             if full < count:
                 room[r].append((count - full, own))
-    groups += [g for own in room for g in own]
+    return groups + [g for own in room for g in own]
+
+
+def packing_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
+    """For each length its runs (first rank, how many, first sequence, offset), and the number of sequences.
+
+    The fitted counts are rounded in several ways; the plan of fewest sequences counts.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        if not 1 <= length <= capacity:
+            raise ValueError(f"length {length} is not in 1..{capacity}")
+        left[length] += n
+    patterns = exact_patterns(np.flatnonzero(left[:capacity]), capacity)
+    x = fitted_counts(patterns, np.where(np.arange(capacity + 1) < capacity, left, 0)) if len(patterns) else np.zeros(0)
+    groups = min((_groups(left, patterns, x, r, capacity) for r in ROUNDINGS), key=lambda own: sum(n for n, _ in own))
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks, sequence = np.zeros(capacity + 1, np.int64), 0
     for count, own in groups:
