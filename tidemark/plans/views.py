@@ -74,9 +74,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as a log of writes: key, seq, and a hash of what was written."""
+    """Conversations as a log of writes: key, seq, and a hash of what was written, role and whole text."""
     turns = table(spark, sf_dir, "conversations")
-    value = F.sha2(F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce(F.substring("text", 1, 1), F.lit(""))), 256)
+    value = F.sha2(F.concat_ws("\x1f", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))), 256)
     return turns.select("conv_id", "turn", value.alias("value_hash"))
 
 
