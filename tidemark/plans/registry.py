@@ -282,8 +282,7 @@ def needs_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_NOTICES} SELECT duid, sha256(concat_ws(chr(31), duid, category_id, category_name, 'Notice ' || (doc_id % 1000), strftime(posted_date, '%Y-%m-%d'), strftime(updated_date, '%Y-%m-%d'), department, source_url, '', CASE WHEN attachments_present THEN 'True' ELSE 'False' END)) AS content_hash FROM notices")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = views.notices(spark, sf_dir).withColumn("title", F.concat(F.lit("Notice  "), F.pmod(F.col("duid").cast("long"), F.lit(1000)))).withColumn("body", F.lit(None).cast("string"))
-    return views.hashed(own).select("duid", "content_hash")
+    return views.hashed(views.notices(spark, sf_dir)).select("duid", "content_hash")
 
 
 # Search
