@@ -498,10 +498,10 @@ def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, 'markup' AS reason FROM pages")
 def captured_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's pages as captured list responses: none is a notice board, so all are held back."""
+    """The driver's pages, each with its own address and markup, as captured list responses. None of the given ones is a notice board."""
     own = table(spark, sf_dir, "pages").select(
-        "page_id", F.lit("index").alias("kind"), F.lit(None).cast("string").alias("duid"), F.lit(f"{_LIST}1").alias("url"), F.lit(200).alias("status_code"),
-        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.lit(b"<p>no board</p>").alias("body"), F.lit(None).cast("string").alias("error"),
+        "page_id", F.lit("index").alias("kind"), F.lit(None).cast("string").alias("duid"), "url", F.lit(200).alias("status_code"),
+        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.col("html").cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
     )
     return collect_captured(own).blocked
 
