@@ -150,18 +150,19 @@ def fit_chains(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: fl
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of whole texts, a row for each chain: at most CHAIN_LINES lines that follow each other."""
     for batch in batches:
-        blobs = []
-        for cell in batch.column(2):
-            lines = [x for x in (cell.as_py() or "").split("\n") if x.strip(BLANKS)][:CHAIN_LINES]
-            blobs.append(line_features(lines).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "label", "rows"])
+        for doc, label, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            features = line_features([x for x in (cell.as_py() or "").split("\n") if x.strip(BLANKS)]).astype(np.float32)
+            blobs = [features[i : i + CHAIN_LINES].tobytes() for i in range(0, len(features), CHAIN_LINES)]
+            n = len(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array([label] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "label", "chain", "rows"])
 
 
 def fit_lines(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
     """Learns from labelled documents that aren't held out: at most ``max_docs`` of either label, those whose ids hash lowest.
 
-    The first CHAIN_LINES lines with words of a document of label 1 teach content, those of label 0 boilerplate.
+    All lines with words of a document of label 1 teach content, those of label 0 boilerplate, in chains of CHAIN_LINES.
     Null ids and labels teach nothing. Without labels every line is content.
     """
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id"))
@@ -169,8 +170,8 @@ def fit_lines(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS
     sample = bounded_sample(own.where("label = 1"), "doc_id", max_docs).unionAll(bounded_sample(own.where("label = 0"), "doc_id", max_docs))
     # At most 2 * max_docs rows of two numbers: the bound makes the broadcast safe.
     taught = documents_of(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = taught.mapInArrow(_featured, "doc_id long, label int, rows binary").toPandas().sort_values("doc_id")
-    chains = [(np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)).astype(float), int(y)) for b, y in zip(rows["rows"], rows["label"], strict=True) if len(b)]
+    rows = taught.mapInArrow(_featured, "doc_id long, label int, chain int, rows binary").toPandas().sort_values(["doc_id", "chain"])
+    chains = [(np.frombuffer(b, np.float32).reshape(-1, len(FEATURES)).astype(float), int(y)) for b, y in zip(rows["rows"], rows["label"], strict=True)]
     return fit_chains(chains)
 
 
