@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import cli
 from tidemark.functions.urls import BoardSite
 from tidemark.plans.collect import Collector, RunConfig, collect_captured
-from tidemark.plans.service import NoticeService, as_json
+from tidemark.plans.service import NoticeService, as_json, next_start
 from tidemark.plans.settings import BadConfiguration, load_settings
 from tidemark.sources.robots import METADATA_ONLY
 from tidemark.sources.store import open_read_only, open_store
@@ -242,6 +242,11 @@ def test_invalid_arguments(spark, arguments, name):
     assert got.error.code == "invalid_input" and got.error.message.startswith(f"{name}:") and got.items == []
 
 
+@pytest.mark.parametrize("total, limit, offset, shown, want", [(561, 50, 450, 50, 500), (561, 50, 500, 50, None), (561, 1, 499, 1, 500), (561, 1, 500, 1, None), (0, 10, 0, 0, None), (25, 10, 10, 10, 20), (20, 10, 10, 10, None)])
+def test_next_page(total, limit, offset, shown, want):
+    assert next_start(total, limit, offset, shown) == want
+
+
 def test_a_missing_store_is_unavailable(spark, tmp_path):
     service = NoticeService(spark, f"{tmp_path}/none")
     for answer in (service.search_notices("x"), service.get_notice("1"), service.list_latest_notices(), service.list_categories(), service.search_notices("a\x00b")):

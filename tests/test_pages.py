@@ -138,3 +138,7 @@ def test_the_page_that_stands_for_a_missing_file(monkeypatch):
     got = robots.judge_response(200, "text/html", page)
     assert (got.allowed, got.block_reason, got.mode) == (False, "robots_missing", "metadata_only")
     assert robots.judge_response(200, "text/html", page + b" ").block_reason == "robots_invalid_content_type"
+
+
+def test_of_repeated_attributes_the_last_counts():
+    assert parse_html('<a href="x" href="?DUID=5" HREF="?DUID=7">t</a>').first("a").attrs == {"href": "?DUID=7"}

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.errors import StorageInputError, StorageUnavailableError
-from tidemark.operators.feed import Filters, pagination
+from tidemark.operators.feed import Filters
 from tidemark.operators.search import phrases_of, postings, search_count, search_index, search_page, tokens
 from tidemark.plans import views
 
@@ -64,8 +64,3 @@ def test_postings_hold_every_position(notices):
     own = postings(notices).where("term = 'the'").agg(F.sum(F.size("positions")).alias("n")).first()["n"]
     words = search_index(notices).select(*[F.size(F.filter(tokens(F.col(c)), lambda w: w == "the")).alias(c) for c in ("title", "category_name", "department", "body")])
     assert own == words.agg(F.sum(F.col("title") + F.col("category_name") + F.col("department") + F.col("body")).alias("n")).first()["n"]
-
-
-@pytest.mark.parametrize("args, want", [((50, 50, 450, 561), (500, True)), ((50, 50, 500, 561), (None, False)), ((1, 1, 499, 561), (500, True)), ((1, 1, 500, 561), (None, False)), ((0, 10, 0, 0), (None, False))])
-def test_pagination(args, want):
-    assert pagination(*args) == want

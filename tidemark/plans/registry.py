@@ -188,7 +188,7 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Logs of writes
 
-_LOG = "log AS (SELECT conv_id, turn, sha256(coalesce(role, '') || chr(31) || coalesce(substr(text, 1, 1), '')) AS value_hash FROM conversations)"
+_LOG = "log AS (SELECT conv_id, turn, sha256(coalesce(role, '') || chr(31) || coalesce(text, '')) AS value_hash FROM conversations)"
 
 
 @query(f"WITH {_LOG} SELECT conv_id, turn, value_hash FROM (SELECT *, lag(value_hash) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM log) WHERE b IS NOT NULL AND b <> value_hash")
@@ -280,7 +280,7 @@ def needs_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.needs_detail(views.incoming(spark, sf_dir), views.notices(spark, sf_dir)).select("duid")
 
 
-@query(f"WITH {_NOTICES} SELECT duid, sha256(concat_ws(chr(31), duid, category_id, category_name, 'Notice ' || (doc_id % 1000), strftime(posted_date, '%Y-%m-%d'), strftime(updated_date, '%Y-%m-%d'), department, source_url, '', CASE WHEN attachments_present THEN 'True' ELSE 'False' END)) AS content_hash FROM notices")
+@query()
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hashed(views.notices(spark, sf_dir)).select("duid", "content_hash")
 

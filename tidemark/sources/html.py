@@ -122,7 +122,7 @@ class _Builder(HTMLParser):
         self.names: Counter[str] = Counter()  # of open elements, so that an end tag without a start costs nothing
 
     def handle_starttag(self, tag, attrs):
-        own = Element(tag, {k: v or "" for k, v in reversed(attrs)})
+        own = Element(tag, {k: v or "" for k, v in attrs})  # of repeated attributes the last one counts
         self.open[-1].children.append(own)
         if tag not in _VOID:
             self.open.append(own)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from typing import Protocol
 from urllib.parse import urljoin, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,15 +201,20 @@ class Fetcher:
 
 
 def redirect_targets(responses: DataFrame) -> DataFrame:
-    """Adds target, the address that a redirect leads to. Redirects are few, and joining addresses has no built-in form."""
+    """Adds target, the address that a redirect leads to; null for every other response.
 
-    @F.udf("string")
-    def joined(url, where):
-        return urljoin(url, where) if url and where else None
+    Joining addresses has no built-in form. The Python workers get the two addresses in batches, and nulls where
+    nothing is to be joined; headers and bodies stay out of them.
+    """
+
+    @F.arrow_udf("string")
+    def joined(url: pa.Array, where: pa.Array) -> pa.Array:
+        return pa.array([urljoin(u.as_py(), w.as_py()) if w.is_valid and u.is_valid else None for u, w in zip(url, where, strict=True)], pa.string())
 
     headers = F.map_filter("headers", lambda k, _: F.lower(k) == "location")
-    where = F.try_element_at(F.map_values(headers), F.lit(1))
-    return responses.withColumn("target", joined("url", where))
+    redirect = (F.col("status_code") >= 300) & (F.col("status_code") < 400)
+    where = F.when(redirect, F.nullif(F.try_element_at(F.map_values(headers), F.lit(1)), F.lit("")))
+    return responses.withColumn("target", joined(F.when(where.isNotNull(), F.nullif("url", F.lit(""))), where))
 
 
 def response_reason(status: Column, body: Column, error: Column, target: Column, robots: bool = False, site: BoardSite = BoardSite()) -> Column:
