@@ -6,6 +6,7 @@ import pytest
 
 from tidemark.llm.language_mixture import UNKNOWN, LanguageModel, fit_languages, identify_languages, trigram_counts
 from tidemark.llm.line_crf import FEATURES, LineModel, base_counts, content_share, fit_chains, fit_lines, line_features, rule_quality, viterbi
+from tidemark.llm import neighbour_quality
 from tidemark.llm.neighbour_quality import DIM, fit_neighbours, score_quality, term_counts
 
 SF = "/root/testdata/sf0.01"
@@ -75,8 +76,8 @@ def test_votes_equal_plain_cosines(spark, tables):
     for row, score in zip(model.project(terms), got, strict=True):
         near = [float(row @ v) for v in model.vectors]
         top = sorted(range(len(near)), key=lambda i: -near[i])[: model.neighbours]
-        weight = [max(near[i], 0) ** 8 for i in top]
-        want = sum(w * model.labels[i] for w, i in zip(weight, top, strict=True)) / sum(weight) if sum(weight) > 1e-12 else model.labels.mean()
+        weight = [max(near[i], 0) ** 8 * model.counts[i] for i in top]
+        want = sum(w * model.labels[i] for w, i in zip(weight, top, strict=True)) / sum(weight) if sum(weight) > 1e-12 else np.average(model.labels, weights=model.counts)
         assert abs(score - want) < 1e-3
 
 
@@ -89,6 +90,31 @@ def test_quality_edge_cases(spark):
     assert score_quality(docs.limit(0), labels).count() == 0
 
 
+def test_terms_of_long_texts_have_no_seams(monkeypatch):
+    text = "".join(random.Random(4).choice("aB1 .é\n") for _ in range(500))
+    whole = term_counts(text)
+    for part in (1, 2, 7, 100):
+        monkeypatch.setattr(neighbour_quality, "PART", part)
+        assert np.array_equal(term_counts(text), whole)
+
+
+def test_labels_of_texts_without_words_decide_on_them(spark):
+    words = [(k, f"Some plain text number {k}, with an end.") for k in range(30)]
+    docs = spark.createDataFrame([*words, *((100 + k, (None, "", " \n")[k % 3]) for k in range(30))], "doc_id long, text string")
+    for bad in (0, 1):
+        labels = docs.selectExpr("doc_id", f"CASE WHEN doc_id >= 100 THEN {1 - bad} ELSE {bad} END AS quality")
+        empty = {r["predicted"] for r in score_quality(docs, labels).where("doc_id >= 100").collect()}
+        assert empty == {1 - bad}
+
+
+def test_votes_count_what_they_stand_for(spark):
+    docs = spark.createDataFrame([(k, "one text") for k in range(400)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 320) AS quality")
+    model = fit_neighbours(docs, labels, max_docs=20)
+    taught = [k for k in range(400) if not held(k)]
+    assert len(model.labels) == 40 and model.scores(np.stack([np.zeros(DIM)]))[0] == pytest.approx(sum(k < 320 for k in taught) / len(taught))
+
+
 # Rules and lines
 
 
