@@ -20,6 +20,7 @@ URLS = [
     None, "", "no scheme", "http://", "http://NET/", "http://net", "http://x.net/a", "http://xnet/a", "https://a.b.example.net/en/x?y#z", "https://example.net/en", "http://EXAMPLE.com/de/",
     "http://m.example.com/de/1", "http://example.com/dex", "ftp://q.org/fr/1", "http://org/fr/", "http://org?fr=/fr/", "http://a.org#/fr/", "x://y://z/fr/", "http://example.net./en/", "http://.net/", "http://net:80/",
     "http://é.net/é", "http://a..net/x", "http://x\nnet/a", "http://a.net/" + "p" * 5000,
+    "http://example\x01x.net/en/a", "http://example.\x01net/", "http://net\x01/", "http://a\x02.net/", "http://a\x00.net/x", "http://\x03.net/", "http://net.\x00/", "http://\x01.org/fr/", "http://x.example\x02.net/en/",
 ]
 
 
@@ -33,6 +34,13 @@ def test_contract_rules_equal_brute_force(spark):
     check(spark, URLS, URL_RULES, 4)
 
 
+def test_hosts_of_any_character(spark):
+    rng = random.Random(5)
+    host = lambda n: "".join(rng.choice("\x00\x01\x02\x03\x04ab..") for _ in range(n))
+    rules = list({h: Rule(h, "", rng.choice(("allow", "block"))) for h in (host(rng.randrange(1, 4)) for _ in range(60))}.values())
+    check(spark, [f"x://{host(rng.randrange(1, 7))}/" for _ in range(400)], rules, 5)
+
+
 def test_many_nested_rules_and_a_hot_host(spark):
     rng = random.Random(9)
     labels = ["a", "b", "c", "com", "net", "a-b", "ab"]

@@ -1,6 +1,6 @@
 """Operator 8: URL rules by a sort-merge range join.
 
-A host's labels in reverse, each closed by a character below all that hosts hold, make a canonical key: a host and
+A host's labels in reverse, each closed by a character below all that keys hold otherwise, make a canonical key: a host and
 all its subdomains are one interval of keys, and the intervals of rules nest. Pages are dealt into key ranges (with
 the page's path and id in the key, so that a host with many pages spans several ranges); a rule goes to each range
 that its interval meets. A sweep over the sorted range keeps a stack of the rule hosts that are open at the current
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Closes a label in a key; and the character after it, which closes an interval.
 CLOSE, AFTER = "\x01", "\x02"
+#: What stands in a key for characters up to AFTER, and for the first of these marks itself, so that no label holds them.
+ESCAPES = (("\x03", "\x03d"), ("\x00", "\x03a"), (CLOSE, "\x03b"), (AFTER, "\x03c"))
 DEFAULT_VERDICT = "allow"
 #: Rows sampled for each range.
 SAMPLE_PER_PART = 20
@@ -51,8 +53,12 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(host: Column) -> Column:
-    """Reversed labels, each followed by CLOSE; empty for an empty host."""
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), CLOSE), F.lit(CLOSE)))
+    """Reversed labels, each followed by CLOSE; empty for an empty host. Characters up to AFTER are escaped in the key."""
+    safe = host
+    for character, instead in ESCAPES:
+        safe = F.replace(safe, F.lit(character), F.lit(instead))
+    safe = F.when(host.rlike("[\\x00-\\x03]"), safe).otherwise(host)
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(safe, r"\.", -1)), CLOSE), F.lit(CLOSE)))
 
 
 def _place(key: str, path: str, page: int | None) -> tuple[str, str, int]:
@@ -134,8 +140,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[Rule], default: str
     wins, of equal texts block. Where none fits, rule is null and the verdict is ``default``. rules is a sequence or
     a table (host, path, verdict) of any size; its null cells count as empty, a rule without host fits every host.
 
-    A null url, and one without ://, has empty host and path. Repeated rows are judged each; a null page_id stays
-    null. An empty table gives no rows.
+    A null url, and one without ://, has empty host and path. Hosts may hold any character, controls too. Very long
+    urls are judged whole. Repeated rows are judged each; a null page_id stays null. Other columns are not read, whatever
+    their names. An empty table gives no rows.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
