@@ -5,7 +5,7 @@ import pytest
 
 from tidemark.llm._common import WordHashes
 from tidemark.llm import spaced_seeds
-from tidemark.llm.spaced_seeds import MASKS, MIN_ITEM, Seeds, allowed, clean_rows, find_passages, lossless, overlap, tokens_of
+from tidemark.llm.spaced_seeds import MASKS, Seeds, allowed, clean_rows, find_passages, lossless, overlap, tokens_of
 
 
 def brute(docs, items):
@@ -15,7 +15,7 @@ def brute(docs, items):
         own = hashes.array(tokens_of(text))
         for i, item in items:
             t = hashes.array(tokens_of(item))
-            if i is None or len(t) < MIN_ITEM:
+            if i is None or not len(t):
                 continue
             for shift in range(-len(t) + 1, len(own)):
                 found = overlap(own, t, shift)
@@ -27,7 +27,7 @@ def brute(docs, items):
 def fixture():
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(300)}"
-    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 25, 13, 12, 11, 8, 6, 5, 4, 30, 16))]
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((40, 25, 13, 12, 11, 8, 6, 5, 4, 30, 16, 3, 2, 1))]
     docs = []
     for d in range(90):
         i, item = items[d % len(items)]
@@ -52,13 +52,36 @@ def test_equals_brute_force(spark):
     assert {r["doc_id"] for r in clean_rows(df, bench).collect()} == {d for d, _ in docs} - dirty
 
 
-def test_several_rounds_give_the_same(spark, monkeypatch):
+def test_a_large_benchmark_is_joined_with_the_same_result(spark, monkeypatch):
     docs, items = fixture()
-    df = spark.createDataFrame(docs, "doc_id long, text string")
+    docs += [docs[0], (None, docs[1][1]), (700, None), (701, "")]
+    items += [(items[0][0], items[1][1]), (60, "")]
+    df = spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, item_id int, row string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    once = sorted(map(tuple, find_passages(df, bench).collect()))
-    monkeypatch.setattr(spaced_seeds, "ROUND_TOKENS", 20)
-    assert sorted(map(tuple, find_passages(df, bench).collect())) == once
+    order = lambda got: sorted((tuple(-1 if v is None else v for v in r) for r in got))
+    once, clean = order(find_passages(df, bench).collect()), order(clean_rows(df, bench).collect())
+    monkeypatch.setattr(spaced_seeds, "TASK_CHARS", 20)
+    assert order(find_passages(df, bench).collect()) == once and len(once) > 40
+    assert order(clean_rows(df, bench).collect()) == clean and clean_rows(df, bench).columns == df.columns
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "\u6f22\u5b57\u306e\u8a66\u9a13\u554f\u984c"), (3, "xyzzy"), (4, " .")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "zero ONE two, three four five"), (11, "\u3053\u308c\u306f\u6f22\u5b57\u306e\u8a66\u9a13\u554f\u984c\u3067\u3059"), (12, "an Xyzzy!"), (13, "one two three")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in find_passages(docs, bench).collect()) == [(10, 1), (11, 2), (12, 3)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in find_passages(docs, bench, min_item=5).collect()) == [(11, 2)]
+    assert tokens_of("ab\u6f22\u5b57cd") == ["ab", "\u6f22", "\u5b57", "cd"]
+
+
+def test_repetitive_texts_list_few_diagonals(monkeypatch):
+    hashes = WordHashes()
+    seeds = Seeds([(1, "a " * 40), (2, "a " * 39 + "b")])
+    own = hashes.array(["a"] * 3000)
+    want = seeds.diagonals(own)
+    assert len(want) < 2 * 3040
+    assert seeds.passages(own)[1] == (40, 40, 0, 40, 40) and seeds.passages(own)[2][0] == 39
+    monkeypatch.setattr(spaced_seeds, "LISTED", 1000)
+    assert np.array_equal(seeds.diagonals(own), want)
 
 
 def test_masks_are_lossless():
