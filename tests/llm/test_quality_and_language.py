@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.language_mixture import UNKNOWN, LanguageModel, fit_languages, identify_languages, trigram_counts
-from tidemark.llm.line_crf import FEATURES, LineModel, base_counts, content_share, fit_chains, fit_lines, line_features, rule_quality, viterbi
+from tidemark.llm.line_crf import FEATURES, LineModel, _Chains, base_counts, content_share, fit_chains, fit_lines, likelihood, line_features, rule_quality, viterbi
 from tidemark.llm import neighbour_quality
 from tidemark.llm.neighbour_quality import DIM, fit_neighbours, score_quality, term_counts
 
@@ -47,6 +47,39 @@ def test_mixtures_are_split_by_proportion(spark, tables):
     assert [m[0] for m in model.mixture(texts["es"])[2]] == ["es"]
 
 
+def test_language_sets_equal_a_search_over_all_sets(spark, tables):
+    docs, _ = tables
+    model = fit_languages(docs)
+    rows = [r for r in docs.where("length(text) BETWEEN 400 AND 3000").orderBy("doc_id").collect() if held(r["doc_id"])]
+    by_lang = {k: [r["text"] for r in rows if r["lang"] == k] for k in model.languages}
+    rng = random.Random(7)
+    texts = [rng.choice(by_lang[k])[: rng.randrange(60, 900)] for k in model.languages for _ in range(4)]
+    texts += [" ".join(rng.choice(by_lang[k])[: rng.randrange(100, 900)] for k in rng.sample(model.languages, n)) for n in (2, 2, 2, 3, 3, 3, 4) for _ in range(3)]
+    for text in texts:
+        counts = trigram_counts(text)
+        grams = np.flatnonzero(counts)
+        n, probs = counts[grams].astype(float), np.exp(model.log_probs[:, grams])
+        price = model.penalty * np.log(n.sum() + 1)
+        worth = {}
+        for mask in range(1, 2 ** len(model.languages)):
+            own = [k for k in range(len(model.languages)) if mask >> k & 1]
+            theta = np.full(len(own), 1 / len(own))
+            for _ in range(400):
+                theta = theta * (probs[own] @ (n / (theta @ probs[own]))) / n.sum()
+            worth[frozenset(model.languages[k] for k in own)] = n @ np.log(theta @ probs[own]) - price * len(own)
+        got = frozenset(k for k, _ in model.mixture(text)[2])
+        assert worth[got] >= max(worth.values()) - 0.5, text[:80]
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    from tidemark.llm import language_mixture
+
+    monkeypatch.setattr(language_mixture, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(k, "some text", f"l{k % 4}") for k in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError):
+        fit_languages(docs)
+
+
 def test_language_edge_cases(spark):
     got = {(r["doc_id"], r["lang_pred"], r["score"]) for r in identify_languages(odd_rows(spark)).collect()}
     assert {(i, UNKNOWN, 0.0) for i in (1, 2, 3, 4)} <= got
@@ -158,6 +191,45 @@ def test_chain_training_separates_states():
     assert fit_chains([]).states(["anything"]).tolist() == [1]
 
 
+def test_slope_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    chains = [(rng.normal(size=(n, len(FEATURES))), rng.integers(0, 2, n)) for n in (1, 2, 5, 9)]
+    groups = [_Chains.of(chains[:2], 0.7), _Chains.of(chains[2:], 0.2)]
+    theta = rng.normal(size=2 * len(FEATURES) + 4) * 0.3
+    _, slope = likelihood(theta, groups, 0.01)
+    for i in range(len(theta)):
+        step = np.zeros_like(theta)
+        step[i] = 1e-5
+        assert (likelihood(theta + step, groups, 0.01)[0] - likelihood(theta - step, groups, 0.01)[0]) / 2e-5 == pytest.approx(slope[i], abs=1e-6)
+    # The partition sum of a short chain is that of all its paths.
+    f, y = chains[2]
+    w, m = theta[: 2 * len(FEATURES)].reshape(-1, 2), theta[2 * len(FEATURES) :].reshape(2, 2)
+    scores = f @ w
+    worth = lambda p: sum(scores[i, s] for i, s in enumerate(p)) + sum(m[a, b] for a, b in zip(p, p[1:]))
+    total = np.logaddexp.reduce([worth([(k >> i) & 1 for i in range(5)]) for k in range(32)])
+    assert likelihood(theta, [_Chains.of([(f, y)], 1.0)], 0.0)[0] == pytest.approx((worth(y.tolist()) - total) / 5)
+
+
+def test_planted_boilerplate_lines_are_found(spark, tables):
+    """Lines with bars, marks or repeated words of held-out documents of label 0, put into held-out ones of label 1."""
+    docs, labels = tables
+    model = fit_lines(docs, labels)
+    out = [(r["text"], r["quality"]) for r in docs.join(labels, "doc_id").orderBy("doc_id").collect() if held(r["doc_id"])]
+    lines = lambda text: [x for x in text.split("\n") if x.strip()]
+    marked = [x for t, q in out if not q for x in lines(t) if "|" in x or "!!" in x or set(x) & set("#*$%&") or any(a == b for a, b in zip(x.split(), x.split()[1:]))]
+    rng, counts = random.Random(1), np.zeros((2, 2), int)
+    for own in (lines(t) for t, q in out if q):
+        for n in (1, 3, 8):
+            if len(own) >= 4:
+                start, at = rng.randrange(max(1, len(marked) - n)), rng.randrange(len(own) + 1)
+                planted = marked[start : start + n]
+                truth = [1] * at + [0] * len(planted) + [1] * (len(own) - at)
+                np.add.at(counts, (truth, model.states([*own[:at], *planted, *own[at:]])), 1)
+    recall, precision = counts[0, 0] / counts[0].sum(), counts[0, 0] / counts[:, 0].sum()
+    print(f"boilerplate lines: recall {recall:.3f}, precision {precision:.3f}; content lines kept {counts[1, 1] / counts[1].sum():.3f}")
+    assert counts[0].sum() > 300 and recall >= 0.9 and precision >= 0.9
+
+
 def test_rules_keep_good_documents_and_drop_junk(spark, tables):
     docs, labels = tables
     got = rule_quality(docs, fit_lines(docs, labels)).join(labels, "doc_id").collect()

@@ -24,6 +24,8 @@ DIM_BITS = 15
 DIM = 1 << DIM_BITS
 #: Bound of the labelled sample, documents a language.
 MAX_TRAIN_DOCS = 3_000
+#: Bound of the distinct languages, which are rows of the table that goes to all tasks; more are an error, none is left out.
+MAX_LANGUAGES = 500
 PENALTY = 6.0
 SMOOTHING = 0.5
 ROUNDS = 25
@@ -126,7 +128,9 @@ def fit_languages(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str =
     """Learns from documents with text, id and language that aren't held out: at most ``max_docs`` a language, by hash of the id."""
     able = docs.select(F.col(id_col).alias("_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     able = able.where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("_id"))
-    sizes = {r["lang"]: r["count"] for r in able.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in able.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; is {lang_col} a column of languages?")
     # Of each language, about max_docs rows by hash, a little fewer so that the bound holds.
     share = F.create_map(*[x for k, v in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 0.95 * max_docs / v) if v > max_docs else 1.0))]) if sizes else None
     if share is None:
@@ -170,7 +174,8 @@ def identify_languages(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col:
     """Returns doc_id, held_out, lang_pred, score, languages (array of lang and share), one row for each row.
 
     lang_pred is ``und`` with score 0 if the text is null or has no letter, or if nothing could be learnt. Rows
-    without id or language teach nothing. Repeated rows count each. Ties go to the language first by name.
+    without id or language teach nothing. Repeated rows count each. Ties go to the language first by name. Very long
+    texts are read whole, part by part. Other columns are not read, whatever their names. An empty table gives no rows.
     """
     model = fit_languages(docs, max_docs, id_col, text_col, lang_col)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -2,8 +2,11 @@
 
 Each line has a vector of shares and marks (symbols, capitals, separators, repetition, length). A chain over the
 lines of a document with two states is trained by the exact gradient of its likelihood, on lines of a bounded
-sample of labelled documents; Viterbi decoding marks the lines of every document, and the share of characters in
-content lines decides whether the document stays. Base rules on words come first.
+sample of labelled documents. Labels are of documents, states of lines: documents of label 1 are content throughout,
+the states of lines of label 0 are latent and found by expectation-maximisation, from boilerplate throughout on. Chains
+of one state would show no change of state: runs of boilerplate lines are joined into documents of label 1, and such
+mixed chains teach with the others. Viterbi decoding marks the lines of every document, and the share of characters in content lines decides
+whether the document stays. Base rules on words come first.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ from tidemark.llm._common import BLANKS, bounded_sample, documents_of, held_out,
 MAX_TRAIN_DOCS = 1_000
 CHAIN_LINES = 32
 MIN_SHARE = 0.5
+#: Lengths of the runs of boilerplate in mixed chains, taken in turn.
+RUNS = (1, 1, 2, 1, 4)
+#: Steps of ascent before and after each time that the latent states are found anew.
+STEPS = (150, 50, 50)
 #: Fixed values of the base rules.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -48,10 +55,10 @@ def line_features(lines: list[str]) -> np.ndarray:
         letters = sum(map(str.isupper, words))
         bars = words.count("|")
         row = out[i]
-        row[2] = min(1.0, 3 * sum(map(line.count, SYMBOLS)) / chars)
+        row[2] = min(1.0, sum(map(line.count, SYMBOLS)) / 2 / n)
         row[3] = letters / n
         row[4] = sum(map(line.count, "0123456789")) / chars
-        row[5] = min(1.0, 5 * (line.count("!") + line.count("?")) / chars)
+        row[5] = min(1.0, (line.count("!") + line.count("?")) / 2 / n)
         row[6] = min(1.0, 3 * bars / n)
         row[7] = sum(map(eq, words, words[1:])) / n
         row[8] = n <= 3
@@ -96,8 +103,8 @@ class LineModel:
         return viterbi(line_features(lines) @ self.weights, self.moves)
 
 
-def _forward_backward(scores: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of states and of moves for padded chains (chains x lines x 2); there marks real lines."""
+def _forward_backward(scores: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of states, of moves, and log partition sums of padded chains (chains x lines x 2); there marks real lines."""
     chains, size, _ = scores.shape
     alpha = np.zeros((chains, size, 2))
     beta = np.zeros((chains, size, 2))
@@ -112,40 +119,87 @@ def _forward_backward(scores: np.ndarray, moves: np.ndarray, there: np.ndarray)
     total = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
     single = np.exp(alpha + beta - total[:, None, None]) * there[..., None]
     pair = np.exp(alpha[:, :-1, :, None] + moves + (scores[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None])
-    return single, (pair * there[:, 1:, None, None]).sum((0, 1))
+    return single, (pair * there[:, 1:, None, None]).sum((0, 1)), total
 
 
-def fit_chains(chains: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float = 0.1, prior: float = 1e-3) -> LineModel:
-    """Ascends the likelihood of the chains (features, state of all their lines) with Adam, both states of equal weight."""
+@dataclass(frozen=True)
+class _Chains:
+    """Padded chains with the state of each line; all their lines weigh the same."""
+
+    features: np.ndarray  # chains x lines x FEATURES
+    states: np.ndarray  # chains x lines x 2, one of two is 1 in real lines
+    there: np.ndarray  # chains x lines
+    weight: float
+
+    @staticmethod
+    def of(chains: list[tuple[np.ndarray, np.ndarray]], weight: float) -> _Chains:
+        shape = len(chains), max(len(f) for f, _ in chains)
+        features, states, there = np.zeros((*shape, len(FEATURES))), np.zeros((*shape, 2)), np.zeros(shape, bool)
+        for i, (f, y) in enumerate(chains):
+            features[i, : len(f)], there[i, : len(f)] = f, True
+            states[i, np.arange(len(f)), y] = 1
+        return _Chains(features, states, there, weight)
+
+
+def likelihood(theta: np.ndarray, groups: list[_Chains], prior: float) -> tuple[float, np.ndarray]:
+    """Mean log likelihood of a line, less the prior's share, and its slope; theta holds the weights, then the moves."""
+    k = len(FEATURES)
+    w, m = theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2)
+    value, slope_w, slope_m, lines = 0.0, np.zeros((k, 2)), np.zeros((2, 2)), 0.0
+    for g in groups:
+        scores = g.features @ w
+        single, pair, total = _forward_backward(scores, m, g.there)
+        moved = np.einsum("nta,ntb->ab", g.states[:, :-1], g.states[:, 1:])
+        value += g.weight * ((scores * g.states).sum() + (moved * m).sum() - total.sum())
+        slope_w += g.weight * np.einsum("ntk,nts->ks", g.features, g.states - single)
+        slope_m += g.weight * (moved - pair)
+        lines += g.weight * g.there.sum()
+    return value / lines - prior / 2 * float(theta @ theta), np.concatenate([slope_w.ravel(), slope_m.ravel()]) / lines - prior * theta
+
+
+def mixed_chains(content: list[np.ndarray], boilerplate: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each chain of content with a run of lines of one of boilerplate, at its start, inside or at its end in turn."""
+    if not boilerplate:
+        return []
+    first = FEATURES.index("first")
+    out = []
+    for i, own in enumerate(content):
+        other = boilerplate[i % len(boilerplate)]
+        size = min(RUNS[i % len(RUNS)], len(other))
+        start = (i * 7) % (len(other) - size + 1)
+        at = (0, len(own) // 2, len(own), len(own) // 3, 2 * len(own) // 3)[i % 5]
+        features = np.concatenate([own[:at], other[start : start + size], own[at:]])
+        features[:, first] = 0
+        features[0, first] = 1
+        out.append((features, np.r_[np.ones(at, np.int64), np.zeros(size, np.int64), np.ones(len(own) - at, np.int64)]))
+    return out
+
+
+def fit_chains(chains: list[tuple[np.ndarray, int]], steps: tuple[int, ...] = STEPS, rate: float = 0.2, prior: float = 1e-4) -> LineModel:
+    """Ascends the likelihood of the chains (features, label of their document) and of mixed ones made of them, with Adam.
+
+    Between the rounds of steps the lines of label 0 get the states that Viterbi decoding finds; a chain in which it finds
+    no boilerplate stays boilerplate throughout. Chains of content, of label 0 and mixed ones have equal weight together.
+    """
     k = len(FEATURES)
-    weights, moves = np.zeros((k, 2)), np.zeros((2, 2))
     if not chains:
+        weights = np.zeros((k, 2))
         weights[0] = 0.0, 1.0
-        return LineModel(weights, moves)
-    size = max(len(f) for f, _ in chains)
-    x, there = np.zeros((len(chains), size, k)), np.zeros((len(chains), size), bool)
-    state = np.array([y for _, y in chains])
-    for i, (f, _) in enumerate(chains):
-        x[i, : len(f)], there[i, : len(f)] = f, True
-    counts = np.array([max(1, there[state == s].sum()) for s in (0, 1)])
-    weight = (counts.sum() / 2 / counts)[state]
-    want_x = np.stack([(x[state == s] * weight[state == s, None, None]).sum((0, 1)) for s in (0, 1)], 1)
-    total = (there.sum(1) * weight).sum()
-    theta, first, second = np.zeros(2 * k + 4), 0.0, 0.0
-    lengths = there.sum(1)
-    want_moves = np.diag([((lengths[state == s] - 1) * weight[state == s]).sum() for s in (0, 1)])
-    for step in range(1, rounds + 1):
-        w, m = theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2)
-        got_x, got_m = np.zeros((k, 2)), np.zeros((2, 2))
-        for s in (0, 1):
-            own = state == s
-            if own.any():
-                single, pair = _forward_backward(x[own] @ w, m, there[own])
-                got_x += np.einsum("ntk,nts->ks", x[own], single) * weight[own][0]
-                got_m += pair * weight[own][0]
-        slope = np.concatenate([(want_x - got_x).ravel(), (want_moves - got_m).ravel()]) / total - prior * theta
-        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-        theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        return LineModel(weights, np.zeros((2, 2)))
+    content = [(f, np.ones(len(f), np.int64)) for f, y in chains if y]
+    latent = [(f, np.zeros(len(f), np.int64)) for f, y in chains if not y]
+    theta, first, second, done = np.zeros(2 * k + 4), 0.0, 0.0, 0
+    for more in steps:
+        model = LineModel(theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2))
+        if done:
+            latent = [(f, found if (found := viterbi(f @ model.weights, model.moves).astype(np.int64)).min(initial=1) == 0 else np.zeros(len(f), np.int64)) for f, _ in latent]
+        kinds = [content, latent, mixed_chains([f for f, _ in content], [own for f, y in latent if len(own := f[y == 0])])]
+        groups = [_Chains.of(own, 1 / sum(len(f) for f, _ in own)) for own in kinds if own]
+        for _ in range(more):
+            done += 1
+            slope = likelihood(theta, groups, prior)[1]
+            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+            theta = theta + rate * (first / (1 - 0.9**done)) / (np.sqrt(second / (1 - 0.999**done)) + 1e-8)
     return LineModel(theta[: 2 * k].reshape(k, 2), theta[2 * k :].reshape(2, 2))
 
 
@@ -162,7 +216,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_lines(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineModel:
     """Learns from labelled documents that aren't held out: at most ``max_docs`` of either label, those whose ids hash lowest.
 
-    All lines with words of a document of label 1 teach content, those of label 0 boilerplate, in chains of CHAIN_LINES.
+    All lines with words teach, in chains of CHAIN_LINES: those of label 1 content, those of label 0 what is found in them.
     Null ids and labels teach nothing. Without labels every line is content.
     """
     own = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out("doc_id"))
@@ -239,7 +293,8 @@ def rule_quality(docs: DataFrame, model: LineModel, min_share: float = MIN_SHARE
     """Returns doc_id, the five base counts, base_failed, kept, content_share, n_content_lines, n_word_lines, one row for each row.
 
     Null and empty texts have no words, so they fail the base rules. Lines without words are neither state. Of equal
-    scores, content wins. Repeated rows and rows without id are judged each. An empty table gives no rows.
+    scores, content wins. Very long texts are judged whole. Repeated rows and rows without id are judged each. Other
+    columns are not read, whatever their names. An empty table gives no rows.
     """
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double, n_content_lines long, n_word_lines long"
     return documents_of(docs, id_col, text_col).mapInArrow(_ruled(model, min_share), schema)
