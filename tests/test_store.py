@@ -87,14 +87,105 @@ def test_hash_is_of_the_twice_cleaned_body_and_safe_text(spark, store):
     assert store.revision_count("1") == 0
 
 
-def test_merge_leaves_untouched_buckets_alone(spark, store):
-    store.save_metadata(rows(spark, *[(str(k), "t") for k in range(200)]), T0)
-    before = dict(store._manifest["notices"])
-    assert len(before) == stores.BUCKETS
-    store.save_metadata(rows(spark, ("7", "new")), T0 + DAY)
-    after = store._manifest["notices"]
-    assert sum(before[b] != after[b] for b in before) == 1 and store.notices().count() == 200
-    store.save_metadata(rows(spark).limit(0), T0)
+def test_a_commit_writes_in_proportion_to_its_batch(spark, store):
+    many = spark.range(100_000).selectExpr("cast(id as string) AS duid", "'t' AS title", "'general' AS category_id", "'x' AS category_name", "date'2024-03-01' AS posted_date", "date'2024-03-01' AS updated_date", "'Desk' AS department", "'u' AS source_url", "false AS attachments_present", "id AS seq")
+    store.save_metadata(many, T0)
+    for k in range(3):
+        known = {path for _, path in stores._folders(store._manifest)}
+        store.save_metadata(rows(spark, *[(str((k * 7919 + i * 997) % 100_000), f"new {k}") for i in range(100)]), T0 + k * DAY)
+        fresh = [path for table, path in stores._folders(store._manifest) if path not in known and table == "notices"]
+        assert sum(spark.read.parquet(f"{store.root}/{path}").count() for path in fresh) <= 100 * stores.FANOUT
+    own = store.notices()
+    assert own.count() == 100_000 and own.where("title = 'new 2'").count() == 100 and own.select("duid").distinct().count() == 100_000
+    assert store.get("997")["title"] == "new 0" and store.get("1")["title"] == "t" and store.get("100000") is None
+    assert store.search_count("new").first()["n"] == own.where("title LIKE 'new%'").count()
+
+
+def test_layers_are_merged_and_become_a_base(spark, store):
+    want = {}
+    for k in range(11):
+        batch = [(str(i), f"t{k}") for i in range(k, 40, 3)]
+        want |= dict(batch)
+        store.save_metadata(rows(spark, *batch), T0 + k * DAY)
+    own = store._manifest["notices"]
+    assert own["base"] and len(own["deltas"]) < stores.FANOUT and len(store._manifest["postings"]) <= 2 * stores.FANOUT
+    assert {r["duid"]: r["title"] for r in store.notices().collect()} == want
+    ids = [r["revision_id"] for r in store.revisions().orderBy("revision_id").collect()]
+    assert ids == list(range(1, len(ids) + 1)) and len(ids) > 50
+    assert store.search_count("t10").first()["n"] == sum(v == "t10" for v in want.values()) and store.search_count("t0").first()["n"] == sum(v == "t0" for v in want.values())
+    store.vacuum(keep=1)
+    assert {r["duid"]: r["title"] for r in open_store(spark, store.root).notices().collect()} == want
+    assert len(list((__import__("pathlib").Path(store.root) / "data" / "notices").iterdir())) == 1 + len(own["deltas"])
+
+
+def test_search_by_the_kept_index_equals_search_of_the_notices(spark, store, sf_dir):
+    from tidemark.operators.feed import Filters
+    from tidemark.operators.search import ranked, search_count, search_page
+    from tidemark.plans import views
+
+    own = views.notices(spark, sf_dir).withColumn("seq", F.col("duid").cast("long"))
+    store.save_details(own, T0)
+    store.save_details(own.where("seq % 3 = 0").withColumn("body", F.concat(F.lit("thing of the new text "), F.col("body"))), T0 + DAY)
+    store.mark_gone(own.where("seq % 17 = 0").select("duid"), T0 + DAY)
+    store.save_metadata(own.where("seq % 5 = 0"), T0 + 2 * DAY)
+    notices = store.notices()
+    for query in ("thing of-the", "new-text src1", "of of-the", "' --", "일반"):
+        for filters in (Filters("general", posted_from=date(2024, 1, 10)) if query == "일반" else Filters(),):
+            page = [(r["duid"], pytest.approx(r["score"], abs=1e-9)) for r in search_page(notices, query, filters, 20, 5).collect()]
+            assert [(r["duid"], r["score"]) for r in store.search_page(query, filters, 20, 5).collect()] == page
+            assert store.search_count(query, filters).first()["n"] == search_count(notices, query, filters).first()["n"]
+    index = store.search_index()
+    assert (index.n, index.n > 0) == (notices.where("tombstone_at IS NULL").count(), True) and ranked(notices, "the").count() > 50
+    plan = index.postings(["thing"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(term), EqualTo(term,thing)]" in plan and "PartitionFilters: [isnotnull(_part" in plan
+
+
+def test_a_torn_manifest_is_passed_over(spark, store):
+    store.save_metadata(rows(spark, ("1", "One")), T0)
+    torn = store.version + 1
+    for n, text in ((torn, ""), (torn + 1, '{"version":')):
+        open(f"{store.root}/{stores._name(n)}", "w").write(text)
+    store.start_run("a", T0)
+    assert store.version == torn + 2 and open_read_only(spark, store.root).get_run("a")["status"] == "running"
+    again = open_store(spark, store.root)
+    again.finish_run("a", "success", T0)
+    again.save_metadata(rows(spark, ("2", "Two")), T0)
+    assert open_read_only(spark, store.root).notices().count() == 2
+
+
+def test_a_store_of_torn_manifests_only_is_made_anew(spark, tmp_path):
+    (tmp_path / "s" / "manifest").mkdir(parents=True)
+    (tmp_path / "s" / stores._name(1)).write_text("")
+    assert open_store(spark, f"{tmp_path}/s").version == 2
+
+
+def test_publishing_by_renaming_never_overwrites(spark, store):
+    files = store._files
+    assert files.create("manifest/x", "one") and not files.create("manifest/x", "two") and files.read("manifest/x") == "one"
+    files._fs.create(files.path("manifest/y.tmp"), False).close()
+    assert files._rename("manifest/y.tmp", "manifest/y") and files.names("manifest").count("y") == 1
+    files._fs.create(files.path("manifest/z.tmp"), False).close()
+    assert not files._rename("manifest/z.tmp", "manifest/x") and files.read("manifest/x") == "one"
+
+
+def test_an_incoming_batch_is_read_once(spark, store):
+    """A source that gives other rows each time it is read leaves a state and revisions that belong together."""
+    store.save_metadata(rows(spark, *[(str(k), "t") for k in range(20)]), T0)
+    moving = rows(spark, *[(str(k), "x") for k in range(20)]).withColumn("title", F.concat(F.lit("n"), F.expr("uuid()")))
+    store.save_metadata(moving, T0 + DAY)
+    state = {r["duid"]: (r["title"], r["content_hash"]) for r in store.notices().collect()}
+    assert {r["duid"]: (r["title"], r["content_hash"]) for r in store.revisions().collect()} == state
+
+
+def test_numbers_follow_seq_whatever_its_values(spark):
+    given = [(hash((k, 1)) % 2**61 - 2**60, str(k)) for k in range(300)] + [(5, "b"), (5, "a")]
+    frame = spark.createDataFrame(given, "seq long, duid string")
+    for c in stores.TABLES["notice_revisions"]:
+        if c.name not in ("duid", "revision_id"):
+            frame = frame.withColumn(c.name, F.lit(None).cast(c.dataType))
+    got = [r["duid"] for r in merge.numbered_revisions(frame, 7, block=20).orderBy("revision_id").collect()]
+    assert got == [d for _, d in sorted(given)]
+    assert [r["revision_id"] for r in merge.numbered_revisions(frame, 7, block=20).orderBy("revision_id").collect()] == list(range(8, 310))
 
 
 def test_versions_conflicts_and_read_only(spark, store):
@@ -103,14 +194,17 @@ def test_versions_conflicts_and_read_only(spark, store):
     other = open_store(spark, store.root)
     store.save_metadata(rows(spark, ("2", "Two")), T0)
     assert reader.notices().count() == 1 and open_read_only(spark, store.root).notices().count() == 2
-    with pytest.raises(StorageUnavailableError):
-        other.save_metadata(rows(spark, ("3", "Three")), T0)
-    assert store.notices().count() == 2
+    other.save_metadata(rows(spark, ("3", "Three"), ("2", "Two!")), T0)  # a handle that lost a race goes on from what was written
+    assert store.notices().count() == 2 and other.notices().count() == 3 and other.revision_count("2") == 1
+    store.start_run("r", T0)
+    other.save_metadata(rows(spark, ("4", "Four")), T0)
+    store.save_metadata(rows(spark, ("5", "Five")), T0)
+    assert open_read_only(spark, store.root).notices().count() == 5 and other.get_run("r")["status"] == "running"
     for write in (lambda: reader.save_metadata(rows(spark), T0), lambda: reader.sweep_bodies(T0), lambda: reader.start_run("a", T0), lambda: reader.vacuum()):
         with pytest.raises(ReadOnlyStorageError):
             write()
     store.vacuum(keep=1)
-    assert open_read_only(spark, store.root).notices().count() == 2
+    assert open_read_only(spark, store.root).notices().count() == 5
     assert store.table_names() == frozenset(TABLES)
 
 
@@ -129,7 +223,8 @@ def test_opening_for_reading_never_makes_a_store(spark, tmp_path):
 
 def test_a_foreign_schema_is_refused(spark, store):
     store.save_metadata(rows(spark, ("1", "One")), T0)
-    path = next(iter(store._manifest["notices"].values()))
+    store.save_metadata(rows(spark, ("2", "Two")), T0)
+    path = next(stores._folders(store._manifest))[1]  # the first one, not the last
     spark.range(1).write.mode("overwrite").parquet(f"{store.root}/{path}")
     with pytest.raises(StorageUnavailableError):
         open_read_only(spark, store.root)

@@ -19,7 +19,7 @@ LANDLINE = r"(?U)(?<!\d)\(?(?:02|031|032|033|041|042|043|044|051|052|053|054|055
 SERVICE = r"(?U)(?<!\d)(?:1[568]\d{2}[- ]\d{4}|0(?:50|60|70|80)[- ]?\d{3,4}[- ]\d{4})(?!\d)"
 INTERNATIONAL = r"(?U)(?<!\d)\+\d{1,3}[ -]?\d{1,4}(?:[ -]?\d{3,4}){2}(?!\d)"
 #: A run of digits stays if 공지 or notice (in any case) is within the eight characters before it.
-ACCOUNT = r"(?U)(?<![\d-])(?<!공지[\s\S]{0,6})(?<!(?-U:(?i:notice))[\s\S]{0,2})\d{10,14}(?![\d-])"
+ACCOUNT = r"(?U)(?=\d{10})(?<![\d-])(?<!공지[\s\S]{0,6})(?<!(?-U:(?i:notice))[\s\S]{0,2})\d{10,14}(?![\d-])"
 
 _MASKS = (
     (LABELLED, "${label}${separator}[REDACTED_IDENTIFIER]"),
@@ -31,7 +31,6 @@ _MASKS = (
     (INTERNATIONAL, "[REDACTED_PHONE]"),
     (ACCOUNT, "[REDACTED_ACCOUNT]"),
 )
-
 #: As EMAIL, but an address before a full stop or a hyphen is masked too. Opt-in: see redact_text.
 EMAIL_STRICT = r"(?U)(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 
@@ -70,17 +69,12 @@ def clean_body(value: Column) -> Column:
 
 def content_hash(duid: Column, category_id: Column, category_name: Column, title: Column, posted: Column, updated: Column, department: Column, url: Column, body: Column, attachments: Column) -> Column:
     """SHA-256 over ten fields joined by U+001F. Human-written fields are cleaned here, a null body counts as empty."""
-    fields = (
-        duid,
-        category_id,
-        clean_category(category_name),
-        clean_title(title),
-        F.date_format(posted, "yyyy-MM-dd"),
-        F.date_format(updated, "yyyy-MM-dd"),
-        clean_department(department),
-        url,
-        clean_body(F.coalesce(body, F.lit(""))),
-        F.when(attachments, F.lit("True")).otherwise(F.lit("False")),
-    )
+    return hash_of_clean(duid, category_id, clean_category(category_name), clean_title(title), posted, updated, clean_department(department), url, clean_body(F.coalesce(body, F.lit(""))), attachments)
+
+
+def hash_of_clean(duid: Column, category_id: Column, category_name: Column, title: Column, posted: Column, updated: Column, department: Column, url: Column, body: Column, attachments: Column) -> Column:
+    """content_hash of fields that are clean already."""
+    days = (F.date_format(day, "yyyy-MM-dd") for day in (posted, updated))
+    fields = (duid, category_id, category_name, title, *days, department, url, body, F.when(attachments, F.lit("True")).otherwise(F.lit("False")))
     # concat_ws would leave nulls out and so move the fields behind them.
     return F.sha2(F.concat_ws("\x1f", *(F.coalesce(f.cast("string"), F.lit("")) for f in fields)), 256)

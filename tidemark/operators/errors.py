@@ -30,7 +30,7 @@ class ReadOnlyStorageError(StorageError):
 
 
 class SearchUnavailableError(StorageError):
-    """Full-text search can't run here. Kept for callers that catch it: search is made of built-in functions."""
+    """Full-text search can't run here: the store has notices, but no index of them."""
 
 
 class SchemaVersionError(StorageError):

@@ -12,34 +12,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import body_expiry
-from tidemark.functions.text import clean_body, clean_category, clean_department, clean_title, content_hash
+from tidemark.functions.text import clean_body, clean_category, clean_department, clean_title, hash_of_clean
 from tidemark.operators.schema import NOTICES, REVISIONS
 
 #: What a batch is: list rows that keep a stored body, list rows that drop it, detail rows that bring one.
 SUMMARY, METADATA, DETAIL = "summary", "metadata", "detail"
 MODES = (SUMMARY, METADATA, DETAIL)
-#: Sequence numbers that share a window when ids are given to revisions.
-ID_BLOCK = 100_000
+#: Revisions that one task numbers, and most tasks for it.
+ID_BLOCK, MAX_BLOCKS = 100_000, 1_000
+_GIVEN = ("duid", "category_id", "category_name", "title", "posted_date", "updated_date", "department", "source_url")
 
 
-def _staged(incoming: DataFrame, current: DataFrame, collected_at: datetime, mode: str) -> DataFrame:
-    """Incoming rows with what is stored of their key (o_), their cleaned fields, body, expiry and hash."""
+def cleaned(incoming: DataFrame, mode: str) -> DataFrame:
+    """The incoming rows that have a duid, cleaned: seq, the fields of a notice that a row brings, body and content_hash.
+
+    List rows that keep a stored body (SUMMARY) have neither body nor hash yet.
+    """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
-    old = current.select("duid", F.lit(True).alias("o_known"), *(F.col(c).alias(f"o_{c}") for c in ("body", "body_expires_at", "content_hash", "tombstone_at", "source_status")))
-    # Most batches touch few of the keys: reading the keys once prunes the large side before its columns are shuffled.
-    rows = incoming.join(old, "duid", "left")
-    now = F.lit(collected_at)
-    given = {SUMMARY: F.col("o_body"), METADATA: F.lit(None).cast("string"), DETAIL: F.coalesce(F.col("body"), F.lit(""))}[mode] if mode != DETAIL or "body" in incoming.columns else F.lit("")
-    body = clean_body(given)
-    expiry: Column = F.when(given.isNotNull(), body_expiry(now))
-    if mode == SUMMARY:
-        expiry = F.coalesce(expiry, F.col("o_body_expires_at"))
-    fields = {c: F.col(c) for c in ("duid", "category_id", "category_name", "title", "posted_date", "updated_date", "department", "source_url", "attachments_present")}
-    hashed = content_hash(*(fields[c] for c in ("duid", "category_id", "category_name", "title", "posted_date", "updated_date", "department", "source_url")), body, fields["attachments_present"])
-    tombstone = F.lit(None).cast("timestamp") if mode == DETAIL else F.col("o_tombstone_at")
-    return rows.select(
-        "seq",
+    body = F.lit(None).cast("string")
+    if mode == DETAIL:
+        body = clean_body(F.coalesce(F.col("body"), F.lit("")) if "body" in incoming.columns else F.lit(""))
+    rows = incoming.where("duid IS NOT NULL").select(
+        F.col("seq").cast("long").alias("seq"),
         "duid",
         "category_id",
         clean_category(F.col("category_name")).alias("category_name"),
@@ -48,15 +43,49 @@ def _staged(incoming: DataFrame, current: DataFrame, collected_at: datetime, mod
         "updated_date",
         clean_department(F.col("department")).alias("department"),
         "source_url",
-        body.alias("body"),
-        expiry.alias("body_expires_at"),
-        hashed.alias("content_hash"),
         "attachments_present",
-        now.cast("timestamp").alias("collected_at"),
-        tombstone.alias("tombstone_at"),
-        F.when(tombstone.isNotNull(), F.col("o_source_status")).otherwise("active").alias("source_status"),
-        F.col("o_content_hash").alias("_stored_hash"),
+        body.alias("body"),
+    )
+    hashed = F.lit(None).cast("string") if mode == SUMMARY else _hash(F.col("body"))
+    return rows.withColumn("content_hash", hashed)
+
+
+def _hash(body: Column) -> Column:
+    """Of clean fields and a body that was cleaned once: it is cleaned once more."""
+    return hash_of_clean(*(F.col(c) for c in _GIVEN), clean_body(F.coalesce(body, F.lit(""))), F.col("attachments_present"))
+
+
+def changed(clean: DataFrame, current: DataFrame, collected_at: datetime, mode: str) -> DataFrame:
+    """Rows of cleaned() as notices, in the order of a key's rows by seq: with seq, _before (the hash that a row
+    replaces, null for the first row of an unknown key) and _last (whether it is its key's last).
+
+    current needs to hold no more than the keys of the batch. Rows of a key with equal seq are ordered by their values.
+    """
+    old = current.select("duid", *(F.col(c).alias(f"o_{c}") for c in ("body", "body_expires_at", "content_hash", "tombstone_at", "source_status")))
+    rows = clean.join(old, "duid", "left")
+    if mode == SUMMARY:
+        rows = rows.withColumn("body", clean_body(F.col("o_body"))).withColumn("content_hash", _hash(F.col("body")))
+    expiry: Column = F.when(F.col("body").isNotNull(), body_expiry(F.lit(collected_at)))
+    if mode == SUMMARY:
+        expiry = F.coalesce(expiry, F.col("o_body_expires_at"))
+    tombstone = F.lit(None).cast("timestamp") if mode == DETAIL else F.col("o_tombstone_at")
+    rows = rows.withColumns(
+        {
+            "body_expires_at": expiry,
+            "collected_at": F.lit(collected_at).cast("timestamp"),
+            "tombstone_at": tombstone,
+            "source_status": F.when(tombstone.isNotNull(), F.col("o_source_status")).otherwise("active"),
+        }
     )
+    tie = F.xxhash64(*(c for c in NOTICES.fieldNames() if c != "duid"))
+    order = Window.partitionBy("duid").orderBy("seq", tie)
+    return rows.select("seq", *NOTICES.fieldNames(), F.coalesce(F.lag("content_hash").over(order), F.col("o_content_hash")).alias("_before"), F.lead("duid").over(order).isNull().alias("_last"))
+
+
+def revised(rows: DataFrame) -> DataFrame:
+    """Of rows of changed() those that differ from what they replace, as revisions without ids but with seq."""
+    differs = F.col("_before").isNotNull() & (F.col("_before") != F.col("content_hash"))
+    return rows.where(differs).select("seq", *(F.col(c) for c in REVISIONS.fieldNames() if c not in ("revision_id", "changed_at")), F.col("collected_at").alias("changed_at"))
 
 
 def merge_notices(current: DataFrame, incoming: DataFrame, collected_at: datetime, mode: str) -> tuple[DataFrame, DataFrame]:
@@ -67,22 +96,28 @@ def merge_notices(current: DataFrame, incoming: DataFrame, collected_at: datetim
     values of a row whose hash differs from its predecessor's, in the batch or else in the store; the first row of an
     unknown key gives none. Rows without duid are left out.
     """
-    staged = _staged(incoming.where("duid IS NOT NULL"), current, collected_at, mode)
-    order = Window.partitionBy("duid").orderBy("seq")
-    seen = staged.withColumn("_before", F.coalesce(F.lag("content_hash").over(order), F.col("_stored_hash")))
-    revisions = seen.where(F.col("_before").isNotNull() & (F.col("_before") != F.col("content_hash"))).select("seq", *(F.col(c) for c in REVISIONS.fieldNames() if c not in ("revision_id", "changed_at")), F.col("collected_at").alias("changed_at"))
-    last = seen.withColumn("_rank", F.row_number().over(Window.partitionBy("duid").orderBy(F.col("seq").desc()))).where("_rank = 1")
-    new = last.select(*NOTICES.fieldNames())
+    rows = changed(cleaned(incoming, mode), current, collected_at, mode)
+    new = rows.where("_last").select(*NOTICES.fieldNames())
     untouched = current.select(*NOTICES.fieldNames()).join(new.select("duid"), "duid", "left_anti").select(*NOTICES.fieldNames())
-    return untouched.unionByName(new), revisions
+    return untouched.unionByName(new), revised(rows)
+
 
+def numbered_revisions(revisions: DataFrame, after: int, count: int | None = None, block: int = ID_BLOCK) -> DataFrame:
+    """Revisions with ids from after + 1 in order of seq, then duid and hash. count is their number, where it is known.
 
-def numbered_revisions(revisions: DataFrame, after: int) -> DataFrame:
-    """Revisions with ids from after + 1 in order of seq. Ids are made by blocks of seq, so no task sorts the whole batch."""
-    own = revisions.withColumn("_block", F.floor(F.col("seq") / ID_BLOCK))
-    sizes = own.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("seq", "duid"))
+    They are cut into ranges of seq of about equal counts, whatever the values of seq; a task numbers the rows of one, and
+    the rows before it are counted by range. Rows are read three times, so they should be a table.
+    """
+    blocks = min(MAX_BLOCKS, -(-(revisions.count() if count is None else count) // block))
+    cuts = sorted(set(revisions.agg(F.percentile_approx("seq", [i / blocks for i in range(1, blocks)], 10_000)).first()[0])) if blocks > 1 else []
+    if blocks <= 1:
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq", "duid", "content_hash"))
+        return revisions.withColumn("revision_id", (F.lit(after) + rank).cast("long")).select(*REVISIONS.fieldNames())
+    own = revisions.withColumn("_block", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("seq"))) if cuts else F.lit(0))
+    # At most MAX_BLOCKS rows are in this window.
+    before = own.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy("seq", "duid", "content_hash"))
     return own.join(before, "_block").withColumn("revision_id", (F.lit(after) + F.col("_base") + rank).cast("long")).select(*REVISIONS.fieldNames())
 
 
@@ -113,15 +148,17 @@ def ignore_absence(current: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def first_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in this order, unlike dropDuplicates, which keeps any."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """The first row of each key in this order, unlike dropDuplicates, which keeps any. An aggregation, so that a key with many rows is reduced before it moves."""
+    return _of_key(rows, keys, F.min_by(F.struct(*rows.columns), F.struct(*order)))
 
 
 def last_by_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in this order: what sequential writes leave."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    return _of_key(rows, keys, F.max_by(F.struct(*rows.columns), F.struct(*order)))
+
+
+def _of_key(rows: DataFrame, keys: list[str], chosen: Column) -> DataFrame:
+    return rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(chosen.alias("_row")).select("_row.*")
 
 
 def changes(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,3 +140,96 @@ def postings(notices: DataFrame) -> DataFrame:
     own = active(notices).select("duid", words)
     flat = own.select("duid", F.col("c").alias("column"), F.posexplode("words").alias("position", "term"))
     return flat.groupBy("term", "duid", "column").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+
+
+# A kept index: a query reads the postings of its terms only, and nothing is tokenized again.
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """Postings that may hold old versions of a notice, the current notices with their _version, and sums over the active ones."""
+
+    postings: Callable[[list[str]], DataFrame]  # of these terms: term, duid, _version, column, positions, size
+    notices: DataFrame
+    n: int
+    words: int
+
+
+def index_rows(notices: DataFrame) -> DataFrame:
+    """(term, duid, _version, column, positions, size) of active notices with a _version: what a store keeps of them.
+
+    size is the number of tokens of the notice. A notice's tokens meet in one task, as its text does; a term's postings
+    are spread over its notices.
+    """
+    own = tokenized(notices).select("duid", "_version", F.col("_size").alias("size"), F.posexplode("_words").alias("column", "words"))
+    flat = own.select("duid", "_version", "column", "size", F.posexplode("words").alias("position", "term"))
+    return flat.groupBy("duid", "_version", "column", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"), F.first("size").alias("size"))
+
+
+def index_sums(notices: DataFrame) -> DataFrame:
+    """One row: rows, of which n are active notices, and the words (tokens) of those."""
+    size = F.when(F.col("tombstone_at").isNull(), reduce(lambda a, b: a + b, (F.size(tokens(F.col(c))) for c in COLUMNS)))
+    return notices.select(size.alias("size")).agg(F.count(F.lit(1)).alias("rows"), F.count("size").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("words"))
+
+
+def _less(positions: Column, k: int) -> Column:
+    return F.transform(positions, lambda p: p - k) if k else positions
+
+
+def indexed_frequencies(index: SearchIndex, phrases: list[list[str]]) -> DataFrame:
+    """(duid, _size, _tf) of the active notices that have a term of the phrases. A phrase begins where all its terms do, each less its place."""
+    terms = sorted({t for p in phrases for t in p})
+    live = active(index.notices).select("duid", "_version")
+    own = index.postings(terms).join(live, ["duid", "_version"], "left_semi")
+    fields = own.groupBy("duid", "column").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.first("size").alias("size"))
+    none = F.expr("cast(array() as array<int>)")
+    starts = [reduce(F.array_intersect, (_less(F.coalesce(F.try_element_at("at", F.lit(t)), none), k) for k, t in enumerate(p))) for p in phrases]
+    return fields.groupBy("duid").agg(F.first("size").alias("_size"), F.array(*[F.sum(F.size(s)).cast("int") for s in starts]).alias("_tf"))
+
+
+def indexed_scores(index: SearchIndex, query: str) -> DataFrame | None:
+    """(duid, score) of all matches, as ranked() gives them; None if the query has no token."""
+    phrases = phrases_of(query)
+    if not phrases:
+        return None
+    found = indexed_frequencies(index, phrases)
+    documents = found.agg(F.array(*[F.count_if(F.col("_tf")[i] > 0) for i in range(len(phrases))]).alias("df")).scalar()
+    mean = (index.words / index.n if index.n else 0.0) or 1.0
+    score = F.lit(0.0)
+    for i in range(len(phrases)):
+        idf = F.log((F.lit(float(index.n)) - documents[i] + 0.5) / (documents[i] + 0.5))
+        tf = F.col("_tf")[i].cast("double")
+        score = score + F.when(idf > 0, idf).otherwise(MIN_IDF) * (tf * (K1 + 1.0)) / (tf + K1 * (1 - B + B * F.col("_size") / F.lit(mean)))
+    return found.where(reduce(lambda a, b: a & b, (F.col("_tf")[i] > 0 for i in range(len(phrases))))).select("duid", (-1.0 * score).alias("score"))
+
+
+def indexed_page(index: SearchIndex, query: str = "", filters: Filters = Filters(), limit: int = 10, offset: int = 0) -> DataFrame:
+    """search_page by the index. Whole notices are read for the page's keys only, which are at most MAX_LIMIT."""
+    validate_search(query, limit, offset)
+    notices = index.notices.drop("_version")
+    if not query.strip():
+        return unranked_page(notices, filters, limit, offset)
+    scored = indexed_scores(index, query)
+    if scored is None:
+        return notices.withColumn("score", F.lit(0.0)).limit(0)
+    slim = notices.select("duid", "category_id", "posted_date", "updated_date")
+    order = [F.col("score").asc(), F.col("updated_date").desc(), F.col("duid").desc()]
+    top = filters.of(scored.join(slim, "duid")).orderBy(*order).offset(offset).limit(bounded_limit(limit)).select("duid", "score").collect()
+    keys = [r["duid"] for r in top]
+    places = F.create_map(*[F.lit(x) for k, r in enumerate(top) for x in (r["duid"], k)]) if top else None
+    rows = notices.where(F.col("duid").isin(keys)) if top else notices.limit(0)
+    scores = F.array(*[F.lit(r["score"]) for r in top]) if top else F.array(F.lit(0.0))
+    place = places[F.col("duid")] if top else F.lit(0)
+    return rows.withColumn("_place", place).orderBy("_place").select(*notices.columns, scores[F.col("_place")].alias("score"))
+
+
+def indexed_count(index: SearchIndex, query: str = "", filters: Filters = Filters()) -> DataFrame:
+    """search_count by the index."""
+    validate_search(query, 1, 0)
+    notices, own = index.notices.drop("_version"), Filters(filters.category_id, None, None, filters.posted_from, filters.posted_to)
+    scored = indexed_scores(index, query) if query.strip() else None
+    if not query.strip():
+        return active_count(notices, own)
+    if scored is None:
+        return notices.limit(0).agg(F.count(F.lit(1)).alias("n"))
+    return own.of(scored.join(notices.select("duid", "category_id", "posted_date"), "duid")).agg(F.count(F.lit(1)).alias("n"))

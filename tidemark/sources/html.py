@@ -287,14 +287,15 @@ def _raw_details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [(detail_fields(h), None) if (h := cell.as_py()) else (None, "html") for cell in batch.column(1)]
         columns = [batch.column(0), pa.array([None if f else place or "detail" for f, place in found], pa.string())]
         columns += [pa.array([f[n] if f else None for f, _ in found], t) for n, t in _DETAIL]
-        yield pa.RecordBatch.from_arrays(columns, names=["raw_duid", "page_issue", *(n for n, _ in _DETAIL)])
+        yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names=["raw_duid", "page_issue", *(n for n, _ in _DETAIL), *batch.schema.names[2:]])
 
 
-def detail_pages(pages: DataFrame, site: BoardSite = BoardSite(), duid_col: str = "duid", html_col: str = "html") -> DataFrame:
+def detail_pages(pages: DataFrame, site: BoardSite = BoardSite(), duid_col: str = "duid", html_col: str = "html", order: Column | None = None) -> DataFrame:
     """A row for each detail page: the fields of a notice with its body, or issue (code, location). An empty page comes
-    first among the faults, then key, root, title, category, posted date."""
-    raw = pages.select(F.col(duid_col).cast("string").alias("raw_duid"), F.col(html_col).cast("string").alias("html")).mapInArrow(
-        _raw_details, "raw_duid string, page_issue string, title string, category string, posted string, updated string, department string, body string, attachments boolean"
+    first among the faults, then key, root, title, category, posted date. With ``order`` each row has it as seq."""
+    seq = [] if order is None else ["seq"]
+    raw = pages.select(F.col(duid_col).cast("string").alias("raw_duid"), F.col(html_col).cast("string").alias("html"), *([] if order is None else [order.cast("long").alias("seq")])).mapInArrow(
+        _raw_details, "raw_duid string, page_issue string, title string, category string, posted string, updated string, department string, body string, attachments boolean" + "".join(f", {c} long" for c in seq)
     )
     duid = parse_duid(F.col("raw_duid"))
 
@@ -324,6 +325,7 @@ def detail_pages(pages: DataFrame, site: BoardSite = BoardSite(), duid_col: str
         F.col("attachments").alias("attachments_present"),
         F.lit(False).alias("pinned"),
         clean_body(F.col("body")).alias("body"),
+        *seq,
     )
 
 

@@ -1,30 +1,69 @@
-"""The notice store: Parquet snapshots behind a manifest, on any file system that Spark reaches.
+"""The notice store: layers of Parquet folders behind a manifest.
 
-A version is a manifest file that names the folders of its tables. It is created exclusively under the next number,
-so a commit is atomic and of two writers one fails; readers stay on the version they opened. Current notices are
-split into buckets by key, and a merge rewrites only the buckets it touches. Revisions are only appended.
+A version is a manifest file that names the folders of its tables. It is written under a name of its own and then
+published under the next number, which fails if that is taken: a commit is atomic, of two writers one is first, and the
+other puts its change onto what that one wrote, or does it again if both changed the same table. This takes a file
+system with exclusive links or renames (local, HDFS); other ones are only read. Readers stay on the version they opened.
+
+Notices are a base, split into buckets by key, and deltas above it, which hold a row for each key that a commit wrote;
+the newest row of a key counts. A commit writes what it changes; deltas are merged by size now and then, and become a
+new base when they are a quarter of it. The search index has a layer for each commit, too: postings of the rows written,
+of which those count whose notice is still of that version. Revisions are only appended.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime
+from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import REDACTION_VERSION
 from tidemark.operators import merge, runs
-from tidemark.operators.errors import ReadOnlyStorageError, SchemaVersionError, StorageUnavailableError
-from tidemark.operators.feed import by_key, latest_success
-from tidemark.operators.schema import NOTICES, REVISIONS, RUNS, SCHEMA_VERSION, TABLES, conforms
-from tidemark.operators.search import search_index
-
-BUCKETS = 16
-RETRIES = 3
+from tidemark.operators.errors import ReadOnlyStorageError, SchemaVersionError, SearchUnavailableError, StorageUnavailableError
+from tidemark.operators.feed import Filters, by_key, latest_success
+from tidemark.operators.schema import NOTICES, SCHEMA_VERSION, TABLES
+from tidemark.operators.search import SearchIndex, index_rows, index_sums, indexed_count, indexed_page, search_index
+
+#: Rows of a bucket of the base, and most buckets; postings of a part of an index layer.
+BUCKET_ROWS, MAX_BUCKETS, PART_WORDS = 1_000_000, 10_000, 5_000_000
+#: Tasks that write into one part.
+PART_TASKS = 4
+#: Layers of about one size that are merged into one, and the share of the base at which deltas become a new one.
+FANOUT, BASE_SHARE = 4, 4
+#: Rows from which the first deltas become a base at once.
+FIRST_BASE = 10_000
+#: Keys of a batch that are listed in the filter of a scan; more are joined.
+LISTED_KEYS = 1_000
+RETRIES = 5
+#: File systems on which publishing a manifest can't overwrite another one.
+WRITABLE = ("file", "hdfs", "viewfs")
+
+#: What the files hold: notices with the number of the commit that wrote them, and postings.
+_VERSION = T.StructField("_version", T.LongType())
+STORED = T.StructType([*NOTICES.fields, _VERSION])
+POSTINGS = T.StructType(
+    [
+        T.StructField("duid", T.StringType()),
+        _VERSION,
+        T.StructField("column", T.IntegerType()),
+        T.StructField("term", T.StringType()),
+        T.StructField("positions", T.ArrayType(T.IntegerType())),
+        T.StructField("size", T.IntegerType()),
+    ]
+)
+_FILES = {"notices": STORED, "notice_revisions": TABLES["notice_revisions"], "crawl_runs": TABLES["crawl_runs"], "postings": POSTINGS}
+_EMPTY = {"notices": {"base": None, "deltas": [], "written": 0, "n": 0, "words": 0, "last_revision": 0}, "notice_revisions": [], "postings": [], "crawl_runs": []}
+_FAILURES = (PySparkException, Py4JJavaError)
 
 
 class _Files:
@@ -32,9 +71,12 @@ class _Files:
 
     def __init__(self, spark: SparkSession, root: str):
         self._jvm = spark.sparkContext._jvm
+        self._gateway = spark.sparkContext._gateway
         self.root = root.rstrip("/")
         at = self._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = at.getFileSystem(self._conf)
+        self.scheme = self._fs.getUri().getScheme()
 
     def path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -50,26 +92,62 @@ class _Files:
         finally:
             stream.close()
 
+    def changed_at(self, name: str) -> int:
+        return self._fs.getFileStatus(self.path(name)).getModificationTime()
+
     def create(self, name: str, text: str) -> bool:
-        """False if the name is taken already."""
-        from py4j.protocol import Py4JJavaError
+        """Writes under a name that no reader looks at, then publishes. False if the name is taken."""
+        if self.scheme not in WRITABLE:
+            raise StorageUnavailableError(f"can't publish on {self.scheme}")
+        temporary = f"{name}.{uuid.uuid4().hex}"
+        stream = self._fs.create(self.path(temporary), False)
+        try:
+            stream.write(bytearray(text, "utf-8"))
+        finally:
+            stream.close()
+        try:
+            return self._link(temporary, name) if self.scheme == "file" else self._rename(temporary, name)
+        finally:
+            self._fs.delete(self.path(temporary), False)
+
+    def _link(self, source: str, name: str) -> bool:
+        try:
+            os.link(*(self.path(n).toUri().getPath() for n in (source, name)))
+        except FileExistsError:
+            return False
+        return True
 
+    def _rename(self, source: str, name: str) -> bool:
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self._conf)
+        without_overwriting = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            stream = self._fs.create(self.path(name), False)
+            context.rename(self.path(source), self.path(name), without_overwriting)
         except Py4JJavaError:
             if self._fs.exists(self.path(name)):
                 return False
             raise
-        stream.write(bytearray(text, "utf-8"))
-        stream.close()
         return True
 
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("duid"), F.lit(BUCKETS)).cast("int")
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("duid"), F.lit(buckets)).cast("int")
+
+
+def _folders(manifest: dict) -> Iterator[tuple[str, str]]:
+    """(table, folder) of all that a manifest names."""
+    notices = manifest["notices"]
+    yield from (("notices", layer["path"]) for layer in ([notices["base"]] if notices["base"] else []) + notices["deltas"])
+    yield from ((table, layer["path"]) for table in ("notice_revisions", "postings") for layer in manifest[table])
+    yield from (("crawl_runs", path) for path in manifest["crawl_runs"])
+
+
+def _of_one_size(layers: list[dict]) -> int:
+    """How many of the newest layers are to be merged: FANOUT of equal level, if there are so many."""
+    newest = layers[-FANOUT:]
+    return FANOUT if len(newest) == FANOUT and len({layer["level"] for layer in newest}) == 1 else 0
 
 
 class NoticeStore:
@@ -85,16 +163,39 @@ class NoticeStore:
     def version(self) -> int:
         return self._manifest["version"]
 
-    def _read(self, table: str, paths: list[str]) -> DataFrame:
-        schema = TABLES[table]
-        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
+    def _at(self, path: str) -> str:
+        return f"{self.root}/{path}"
 
-    def notices(self, buckets: set[int] | None = None) -> DataFrame:
+    def _read(self, table: str, paths: list[str]) -> DataFrame:
+        schema = _FILES[table]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        if table == "postings":  # each layer has partitions of its own
+            return reduce(DataFrame.unionAll, (self.spark.read.schema(schema).parquet(self._at(p)).select(*schema.fieldNames()) for p in paths))
+        return self.spark.read.schema(schema).parquet(*map(self._at, paths))
+
+    def _stored(self, chosen: Callable[[DataFrame], DataFrame] = lambda rows: rows, duid: str | None = None) -> DataFrame:
+        """Current notices with _version: the newest row of each key that is in a delta, and the base's other keys. ``chosen``
+        picks rows by key alone; of one duid only its bucket is read."""
         own = self._manifest["notices"]
-        return self._read("notices", [p for b, p in sorted(own.items()) if buckets is None or int(b) in buckets])
+        deltas = [chosen(self._read("notices", [layer["path"]])) for layer in own["deltas"]]
+        newest = reduce(DataFrame.unionAll, deltas) if deltas else None
+        if len(deltas) > 1:
+            rest = [c for c in STORED.fieldNames() if c != "duid"]
+            newest = newest.groupBy("duid").agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select("duid", "_row.*")
+        if not own["base"]:
+            return newest if newest is not None else self.spark.createDataFrame([], STORED)
+        base = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("_bucket", T.IntegerType())])).parquet(self._at(own["base"]["path"]))
+        if duid is not None:
+            base = base.where(F.col("_bucket") == F.pmod(F.xxhash64(F.lit(duid)), F.lit(own["base"]["buckets"])).cast("int"))
+        base = chosen(base).select(*STORED.fieldNames())
+        return base if newest is None else base.join(newest.select("duid"), "duid", "left_anti").select(*STORED.fieldNames()).unionByName(newest.select(*STORED.fieldNames()))
+
+    def notices(self) -> DataFrame:
+        return self._stored().drop("_version")
 
     def revisions(self) -> DataFrame:
-        return self._read("notice_revisions", self._manifest["notice_revisions"])
+        return self._read("notice_revisions", [layer["path"] for layer in self._manifest["notice_revisions"]])
 
     def runs(self) -> DataFrame:
         return self._read("crawl_runs", self._manifest["crawl_runs"])
@@ -102,9 +203,32 @@ class NoticeStore:
     def index(self) -> DataFrame:
         return search_index(self.notices())
 
+    def _postings(self, terms: list[str]) -> DataFrame:
+        """Postings of these terms, current or not: of each layer their parts are read."""
+        found = [self.spark.createDataFrame([], POSTINGS)]
+        for layer in self._manifest["postings"]:
+            rows = self.spark.read.schema(T.StructType([*POSTINGS.fields, T.StructField("_part", T.IntegerType())])).parquet(self._at(layer["path"]))
+            parts = reduce(lambda a, b: a | b, (F.col("_part") == F.pmod(F.xxhash64(F.lit(t)), F.lit(layer["parts"])).cast("int") for t in terms))
+            found.append(rows.where(parts & F.col("term").isin(terms)).select(*POSTINGS.fieldNames()))
+        return reduce(DataFrame.unionAll, found)
+
+    def search_index(self) -> SearchIndex:
+        own = self._manifest["notices"]
+        if (own["base"] or own["deltas"]) and own["n"] and not self._manifest["postings"]:
+            raise SearchUnavailableError("this version of the store has no postings")
+        return SearchIndex(self._postings, self._stored(), own["n"], own["words"])
+
+    def search_page(self, query: str = "", filters: Filters = Filters(), limit: int = 10, offset: int = 0) -> DataFrame:
+        return indexed_page(self.search_index(), query, filters, limit, offset)
+
+    def search_count(self, query: str = "", filters: Filters = Filters()) -> DataFrame:
+        return indexed_count(self.search_index(), query, filters)
+
     def get(self, duid: str) -> Row | None:
-        own = self.spark.range(1).select(F.lit(duid).alias("duid")).select(_bucket().alias("b")).first()["b"]
-        return next(iter(by_key(self.notices({own}), duid).collect()), None)
+        return next(iter(self.by_key(duid).collect()), None)
+
+    def by_key(self, duid: str) -> DataFrame:
+        return by_key(self._stored(lambda rows: rows.where(F.col("duid") == duid), duid).drop("_version"), duid)
 
     def revision_count(self, duid: str) -> int:
         return self.revisions().where(F.col("duid") == duid).count()
@@ -138,40 +262,140 @@ class NoticeStore:
 
     def _write(self, df: DataFrame, table: str) -> str:
         path = f"data/{table}/{self.version + 1}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{path}")
+        df.write.parquet(self._at(path))
         return path
 
-    def _commit(self, changed: dict) -> None:
-        new = self._manifest | changed | {"version": self.version + 1}
-        if not self._files.create(_name(new["version"]), json.dumps(new)):
-            raise StorageUnavailableError("another writer was first")
-        self._manifest = new
+    def _publish(self, change: Callable[[], dict | None]) -> None:
+        """Publishes the tables that change() makes of the version this store is on; nothing if it makes none.
+
+        If another writer was first, the change goes onto that one's version as it is, unless both changed the same table:
+        then it is made anew.
+        """
+        for _ in range(RETRIES):
+            base = self._manifest
+            tables = change()
+            if tables is None:
+                return
+            while True:
+                newest, free = _newest(self._files)
+                if any(newest[t] != base[t] for t in tables):
+                    self._manifest = newest
+                    break
+                new = newest | tables | {"version": free}
+                if self._files.create(_name(free), json.dumps(new)):
+                    self._manifest = new
+                    return
+        raise StorageUnavailableError("other writers were first")
+
+    @contextmanager
+    def _staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Writes what is read several times once, so that a source that can't be repeated gives one answer."""
+        folder = f"data/staged/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame) -> DataFrame:
+            path = self._at(f"{folder}/{uuid.uuid4().hex}")
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            self._files.delete(folder)
+
+    def _with_keys(self, keys: DataFrame, some: list[str]) -> DataFrame:
+        """Current notices of these keys, with _version; some are the first of the keys, all if they are few."""
+        if len(some) <= LISTED_KEYS:
+            return self._stored(lambda rows: rows.where(F.col("duid").isin(some)))
+        return self._stored(lambda rows: rows.join(keys, "duid", "left_semi"))
+
+    def _layered(self, old: DataFrame, rows: DataFrame) -> dict:
+        """The parts of a manifest after rows (NOTICES) took the place of old (STORED): a delta, its postings, the sums."""
+        own = self._manifest["notices"]
+        written = own["written"] + 1
+        path = self._write(rows.select(*NOTICES.fieldNames()).withColumn("_version", F.lit(written).cast("long")).sortWithinPartitions("duid"), "notices")
+        delta = self._read("notices", [path])
+        sums = {r["which"]: r for r in index_sums(old).withColumn("which", F.lit("before")).unionAll(index_sums(delta).withColumn("which", F.lit("after"))).collect()}
+        before, after = sums["before"], sums["after"]
+        notices = own | {"deltas": [*own["deltas"], {"path": path, "rows": after["rows"], "level": 0}], "written": written}
+        notices |= {k: own[k] + after[k] - before[k] for k in ("n", "words")}
+        return {"notices": notices, "postings": [*self._manifest["postings"], self._indexed(index_rows(delta), after["words"])]}
+
+    def _indexed(self, rows: DataFrame, words: int, level: int = 0) -> dict:
+        parts = max(1, min(MAX_BUCKETS, words // PART_WORDS))
+        path = f"data/postings/{self.version + 1}-{uuid.uuid4().hex}"
+        dealt = rows.select(*POSTINGS.fieldNames()).withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
+        if parts > 1:  # a frequent term's postings are dealt over several tasks, which all write into its part
+            dealt = dealt.repartition("_part", F.pmod(F.xxhash64("duid"), F.lit(PART_TASKS)))
+        dealt.sortWithinPartitions("_part", "term").write.partitionBy("_part").parquet(self._at(path))
+        return {"path": path, "parts": parts, "words": words, "level": level}
 
     def _merged(self, incoming: DataFrame, mode: str, collected_at: datetime, gone: DataFrame | None) -> None:
-        """All or nothing: rows, revisions and tombstones become visible with one manifest."""
-        keys = incoming.select("duid")
-        if gone is not None:
-            keys = keys.union(gone.select("duid"))
-        touched = {r["b"] for r in keys.where("duid IS NOT NULL").select(_bucket().alias("b")).distinct().collect()}
-        if not touched:
-            return
-        current = self.notices(touched)
-        new, revisions = merge.merge_notices(current, incoming, collected_at, mode)
-        if gone is not None:
-            new = merge.apply_tombstones(new, gone, collected_at)
-        changed: dict = {"notices": self._manifest["notices"] | self._split(new, touched)}
-        last = self.revisions().agg(F.coalesce(F.max("revision_id"), F.lit(0)).alias("m")).first()["m"]
-        path = self._write(merge.numbered_revisions(revisions, last), "notice_revisions")
-        changed["notice_revisions"] = [*self._manifest["notice_revisions"], path]
-        self._commit(changed)
-
-    def _split(self, rows: DataFrame, buckets: set[int]) -> dict[str, str]:
-        """Writes the rows by bucket; folders of buckets without rows are left out."""
-        path = f"data/notices/{self.version + 1}-{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", _bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{path}")
-        there = set(self._files.names(path))
-        self._manifest["notices"] = {b: p for b, p in self._manifest["notices"].items() if int(b) not in buckets or f"_bucket={b}" in there}
-        return {str(b): f"{path}/_bucket={b}" for b in sorted(buckets) if f"_bucket={b}" in there}
+        """All or nothing: rows, revisions, tombstones and postings become visible with one manifest."""
+        with self._staging() as stage:
+            batch = stage(merge.cleaned(incoming, mode))
+            keys = batch.select("duid")
+            if gone is not None:
+                gone = stage(gone.select("duid").where("duid IS NOT NULL"))
+                keys = keys.union(gone)
+            keys = keys.distinct()
+            some = [r["duid"] for r in keys.limit(LISTED_KEYS + 1).collect()]
+            if not some:
+                return
+
+            def change() -> dict | None:
+                old = self._with_keys(keys, some)
+                rows = stage(merge.changed(batch, old, collected_at, mode))
+                new = rows.where("_last").select(*NOTICES.fieldNames())
+                if gone is not None:
+                    others = old.select(*NOTICES.fieldNames()).join(new.select("duid"), "duid", "left_anti").select(*NOTICES.fieldNames())
+                    new = merge.apply_tombstones(new.unionByName(others), gone, collected_at)
+                tables = self._layered(old, new)
+                if not tables["notices"]["deltas"][-1]["rows"]:  # only ids that no notice has
+                    return None
+                revisions, last = merge.revised(rows), self._manifest["notices"]["last_revision"]
+                if n := revisions.count():
+                    path = self._write(merge.numbered_revisions(revisions, last, n), "notice_revisions")
+                    tables["notice_revisions"] = [*self._manifest["notice_revisions"], {"path": path, "rows": n, "level": 0}]
+                    tables["notices"]["last_revision"] = last + n
+                return tables
+
+            self._publish(change)
+        self._compact()
+
+    def _compact(self) -> None:
+        """Merges layers of equal level; of notices all into a new base, where they are much of the old one."""
+        self._publish(self._compacted)
+
+    def _compacted(self) -> dict | None:
+        tables: dict = {}
+        own = self._manifest["notices"]
+        deltas, base = own["deltas"], own["base"]
+        rows = sum(layer["rows"] for layer in deltas)
+        if rows >= FIRST_BASE if not base and len(deltas) < FANOUT else len(deltas) >= FANOUT and rows * BASE_SHARE >= (base["rows"] if base else 0):
+            buckets = max(1, min(MAX_BUCKETS, ((base["rows"] if base else 0) + rows) // BUCKET_ROWS))
+            path = f"data/notices/{self.version + 1}-{uuid.uuid4().hex}"
+            whole = self._stored().withColumn("_bucket", _bucket(buckets))
+            whole.repartitionByRange("_bucket", "duid").sortWithinPartitions("_bucket", "duid").write.partitionBy("_bucket").parquet(self._at(path))
+            tables["notices"] = own | {"base": {"path": path, "rows": self.spark.read.parquet(self._at(path)).count(), "buckets": buckets}, "deltas": []}
+        elif n := _of_one_size(deltas):
+            newest = self._read("notices", [layer["path"] for layer in deltas[-n:]])
+            rest = [c for c in STORED.fieldNames() if c != "duid"]
+            kept = newest.groupBy("duid").agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select("duid", "_row.*")
+            path = self._write(kept.sortWithinPartitions("duid"), "notices")
+            merged = {"path": path, "rows": self._read("notices", [path]).count(), "level": deltas[-1]["level"] + 1}
+            tables["notices"] = own | {"deltas": [*deltas[:-n], merged]}
+        revisions = self._manifest["notice_revisions"]
+        if n := _of_one_size(revisions):
+            path = self._write(self._read("notice_revisions", [layer["path"] for layer in revisions[-n:]]).sortWithinPartitions("duid"), "notice_revisions")
+            tables["notice_revisions"] = [*revisions[:-n], {"path": path, "rows": sum(layer["rows"] for layer in revisions[-n:]), "level": revisions[-1]["level"] + 1}]
+        postings = self._manifest["postings"]
+        if n := _of_one_size(postings):
+            live = self._stored().where("tombstone_at IS NULL").select("duid", "_version")
+            kept = self._read("postings", [layer["path"] for layer in postings[-n:]]).join(live, ["duid", "_version"], "left_semi")
+            merged = self._indexed(kept, sum(layer["words"] for layer in postings[-n:]), postings[-1]["level"] + 1)
+            tables["postings"] = [*postings[:-n], merged]
+            tables.setdefault("notices", own)  # made of these notices: another writer's change to them makes it anew
+        return tables or None
 
     def save_summaries(self, rows: DataFrame, collected_at: datetime) -> None:
         """List rows; a stored body stays and its life starts anew."""
@@ -194,27 +418,26 @@ class NoticeStore:
         self._merged(empty, merge.DETAIL, tombstone_at, gone)
 
     def sweep_bodies(self, now: datetime) -> list[str]:
-        """Ids whose body went."""
+        """Ids whose body went. Only their rows are written."""
         self._writable("sweep bodies")
-        due = merge.expired_bodies(self.notices(), now).withColumn("b", _bucket()).collect()
-        if due:
-            touched = {r["b"] for r in due}
-            self._commit({"notices": self._manifest["notices"] | self._split(merge.sweep_bodies(self.notices(touched), now), touched)})
-        return [r["duid"] for r in due]
+        due: list[str] = []
+
+        def change() -> dict | None:
+            ids = merge.expired_bodies(self.notices(), now)
+            due[:] = [r["duid"] for r in ids.collect()]
+            old = self._stored().join(ids, "duid", "left_semi").select(*STORED.fieldNames())
+            return self._layered(old, merge.sweep_bodies(old, now)) if due else None
+
+        self._publish(change)
+        self._compact()
+        return due
 
     def _ledger(self, operation: str, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Changes the ledger; if another writer was first, once more on what that one wrote."""
         self._writable(operation)
-        for attempt in range(RETRIES):
-            try:
-                self._commit({"crawl_runs": [self._write(change(self.runs()).coalesce(1), "crawl_runs")]})
-                return
-            except StorageUnavailableError:
-                if attempt + 1 == RETRIES:
-                    raise
-                self._manifest = _newest(self._files)
+        self._publish(lambda: {"crawl_runs": [self._write(change(self.runs()).coalesce(1), "crawl_runs")]})
 
     def start_run(self, run_id: str, now: datetime) -> None:
+        self._manifest = _newest(self._files)[0] if not self.read_only else self._manifest
         self._ledger("start run", lambda r: runs.start_run(r, run_id, now))
 
     def update_run(self, run_id: str, now: datetime, **given: int | str | None) -> None:
@@ -228,13 +451,14 @@ class NoticeStore:
         return runs.recovered(self.runs(), now).collect()
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes the manifests before the newest ``keep`` and the folders that only they name."""
+        """Deletes the manifests before the newest ``keep`` and the folders that only they name, also those of writers that died."""
         self._writable("vacuum")
-        versions = sorted(v for n in self._files.names("manifest") if (v := _number(n)) is not None)
-        kept = [json.loads(self._files.read(_name(v))) for v in versions[-keep:]]
-        named = {"/".join(p.split("/")[:3]) for m in kept for t in ("notices", "notice_revisions", "crawl_runs") for p in (m[t].values() if isinstance(m[t], dict) else m[t])}
-        for v in versions[:-keep]:
-            self._files.delete(_name(v))
+        found = {v: m for v in _numbers(self._files) if (m := _whole(self._files, v)) is not None}
+        kept = sorted(found)[-keep:]
+        named = {path for v in kept for _, path in _folders(found[v])}
+        for name in self._files.names("manifest"):
+            if _number(name) not in kept and (_number(name) or 0) <= kept[-1]:
+                self._files.delete(f"manifest/{name}")
         for table in self._files.names("data"):
             for folder in self._files.names(f"data/{table}"):
                 if f"data/{table}/{folder}" not in named:
@@ -246,45 +470,69 @@ def _name(version: int) -> str:
 
 
 def _number(name: str) -> int | None:
-    return int(name[:12]) if name.endswith(".json") and name[:12].isdigit() else None
+    return int(name[:12]) if name.endswith(".json") and len(name) == 17 and name[:12].isdigit() else None
 
 
-def _newest(files: _Files) -> dict:
-    """The newest manifest that is whole."""
-    for name in sorted((n for n in files.names("manifest") if _number(n) is not None), reverse=True):
-        try:
-            found = json.loads(files.read(f"manifest/{name}"))
-        except ValueError:
-            continue
-        if found["schema_version"] > SCHEMA_VERSION:
-            raise SchemaVersionError(found["schema_version"])
-        return found
+def _numbers(files: _Files) -> list[int]:
+    return sorted(v for n in files.names("manifest") if (v := _number(n)) is not None)
+
+
+def _whole(files: _Files, version: int) -> dict | None:
+    """A manifest, None if its writer died before the end of it."""
+    try:
+        return json.loads(files.read(_name(version)))
+    except ValueError:
+        return None
+
+
+def _newest(files: _Files) -> tuple[dict, int]:
+    """The newest manifest that is whole, and the first number after all that are taken."""
+    numbers = _numbers(files)
+    for version in reversed(numbers):
+        found = _whole(files, version)
+        if found is not None:
+            if found["schema_version"] > SCHEMA_VERSION:
+                raise SchemaVersionError(found["schema_version"])
+            return found, numbers[-1] + 1
     raise StorageUnavailableError("no store here")
 
 
 def open_store(spark: SparkSession, root: str) -> NoticeStore:
     """Opens a store for writing and makes it if there is none."""
     files = _Files(spark, root)
-    if not files.names("manifest"):
-        files.create(_name(1), json.dumps({"schema_version": SCHEMA_VERSION, "redaction_version": REDACTION_VERSION, "version": 1, "notices": {}, "notice_revisions": [], "crawl_runs": []}))
-    return NoticeStore(spark, files.root, _newest(files), files, read_only=False)
+    if files.scheme not in WRITABLE:
+        raise StorageUnavailableError(f"can't publish on {files.scheme}")
+    if not any(_whole(files, v) for v in _numbers(files)):
+        taken = _numbers(files)
+        first = taken[-1] + 1 if taken else 1
+        files.create(_name(first), json.dumps({"schema_version": SCHEMA_VERSION, "redaction_version": REDACTION_VERSION, "version": first} | _EMPTY))
+    return NoticeStore(spark, files.root, _newest(files)[0], files, read_only=False)
 
 
 def open_read_only(spark: SparkSession, root: str) -> NoticeStore:
-    """Opens the newest version for reading, its tables checked against the contract. Never makes a store."""
+    """Opens the newest version for reading, all its folders checked against the contract. Never makes a store."""
     try:
         files = _Files(spark, root)
-        store = NoticeStore(spark, files.root, _newest(files), files, read_only=True)
+        store = NoticeStore(spark, files.root, _newest(files)[0], files, read_only=True)
         if not is_valid(store):
             raise StorageUnavailableError("schema")
-    except (PySparkException, OSError, KeyError) as error:
+    except (*_FAILURES, OSError, KeyError, TypeError) as error:
         raise StorageUnavailableError("open") from error
     return store
 
 
+#: Folders that conformed when they were looked at, with their times: folders are never written to again.
+_CONFORMING: set[tuple[str, str, int]] = set()
+
+
 def is_valid(store: NoticeStore) -> bool:
-    """Whether the files on disk have exactly the contract's columns and types."""
-    for table, paths in (("notices", list(store._manifest["notices"].values())), ("notice_revisions", store._manifest["notice_revisions"]), ("crawl_runs", store._manifest["crawl_runs"])):
-        if paths and not conforms(store.spark.read.parquet(f"{store.root}/{paths[-1]}"), table):
-            return False
-    return REVISIONS.fieldNames()[0] == "revision_id" and RUNS.fieldNames()[0] == "run_id"
+    """Whether every folder on disk has exactly the contract's columns and types."""
+    partitions = {"notices": "_bucket", "postings": "_part"}
+    for table, path in _folders(store._manifest):
+        seen = (store.root, path, store._files.changed_at(path))
+        if seen not in _CONFORMING:
+            there = [(f.name, f.dataType) for f in store.spark.read.parquet(store._at(path)).schema if f.name != partitions.get(table)]
+            if there != [(f.name, f.dataType) for f in _FILES[table]]:
+                return False
+            _CONFORMING.add(seen)
+    return True
