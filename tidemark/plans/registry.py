@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates, text, urls
 from tidemark.operators import feed, merge, search
 from tidemark.operators import runs as ledger
-from tidemark.operators.schema import CATEGORIES
+from tidemark.operators.schema import CATEGORIES, NOTICES
 from tidemark.plans import views
 from tidemark.plans.collect import collect_captured
 from tidemark.plans.views import NOW, table
@@ -211,44 +211,73 @@ def revision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.revision_counts(merge.changes(views.change_log(spark, sf_dir), ["conv_id"], ["turn"], "value_hash").select(F.col("conv_id").cast("string").alias("duid")))
 
 
-# Merges: what they leave, aside from the text fields, which are cleaned (see redact_documents)
+# Merges: all that they leave. SQL can't repeat the masking, so title, body and hash are compared where a text has nothing
+# that could be masked (no digit and no @), and are null elsewhere; tests compare masked ones with plain Python.
 
 _INCOMING = f"""{_NOTICES},
 batch AS (SELECT duid, doc_id AS seq, true AS known FROM notices WHERE doc_id % 3 = 0
           UNION ALL SELECT CAST(doc_id + 900000000000 AS VARCHAR), doc_id + 900000000000, false FROM notices WHERE doc_id % 3 = 0),
 merged AS (
   SELECT coalesce(b.duid, n.duid) AS duid, b.duid IS NOT NULL AS written, n.duid IS NOT NULL AS stored, n.gone, n.body IS NOT NULL AS had_body, n.body_expires_at, n.collected_at, n.source_status
-  FROM notices n FULL JOIN batch b ON b.duid = n.duid)"""
-_MERGED = (
-    "SELECT duid, {gone} AS tombstoned, {status} AS source_status, {body} AS has_body, "
-    + _SHOWN.format("{expiry}")
-    + " AS body_expires_at, "
-    + _SHOWN.format("CASE WHEN written THEN TIMESTAMP '2024-03-03' ELSE collected_at END")
-    + " AS collected_at FROM merged"
-)
-
-
-def _left(rows: DataFrame) -> DataFrame:
-    return rows.select("duid", F.col("tombstone_at").isNotNull().alias("tombstoned"), "source_status", F.col("body").isNotNull().alias("has_body"), _instant("body_expires_at"), _instant("collected_at"))
-
-
-def _merge(spark: SparkSession, sf_dir: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    return merge.merge_notices(views.hashed(views.notices(spark, sf_dir)), views.incoming(spark, sf_dir), _LATER, mode)
-
-
-@query(f"WITH {_INCOMING} " + _MERGED.format(gone="coalesce(gone, false)", status="coalesce(source_status, 'active')", body="NOT written AND had_body", expiry="CASE WHEN NOT written THEN body_expires_at END"))
+  FROM notices n FULL JOIN batch b ON b.duid = n.duid),
+filled AS (
+  SELECT m.*, o.category_id, o.category_name, o.posted_date, o.updated_date, o.department, o.source_url, o.attachments_present, o.body,
+         CASE WHEN written AND stored AND o.doc_id % 6 = 0 THEN 'New ' ELSE '' END || o.title AS title, NOT coalesce(regexp_matches(o.body, '[0-9@]'), false) AS plain
+  FROM merged m JOIN notices o ON o.doc_id = CAST(m.duid AS BIGINT) % 900000000000)"""
+
+
+def _clean(value: str, cap: int) -> str:
+    return f"substr(trim(regexp_replace({value}, '\\s+', ' ', 'g')), 1, {cap})"
+
+
+def _merged(gone: str, status: str, body: str, expiry: str) -> str:
+    """body: what a written row holds, null if nothing."""
+    given = f"CASE WHEN written THEN {body} ELSE body END"
+    # A written body is cleaned before it is stored and once more for the hash; a stored one of the view for the hash only.
+    hashed = ", ".join(
+        f"coalesce({x}, '')"
+        for x in (
+            *("duid", "category_id", "category_name", _clean("title", text.TITLE_CAP), "strftime(posted_date, '%Y-%m-%d')", "strftime(updated_date, '%Y-%m-%d')", _clean("department", text.DEPARTMENT_CAP), "source_url"),
+            f"CASE WHEN written THEN {_clean(body, text.BODY_CAP).replace('substr(', 'trim(substr(', 1)}) ELSE {_clean('body', text.BODY_CAP)} END",
+            "CASE WHEN attachments_present THEN 'True' ELSE 'False' END",
+        )
+    )
+    return (
+        f"WITH {_INCOMING} SELECT duid, {gone} AS tombstoned, {status} AS source_status, ({given}) IS NOT NULL AS has_body, {_SHOWN.format(expiry)} AS body_expires_at,"
+        f" {_SHOWN.format("CASE WHEN written THEN TIMESTAMP '2024-03-03' ELSE collected_at END")} AS collected_at, category_id, category_name,"
+        " strftime(posted_date, '%Y-%m-%d') AS posted_date, strftime(updated_date, '%Y-%m-%d') AS updated_date, source_url, attachments_present,"
+        f" CASE WHEN written THEN {_clean('department', text.DEPARTMENT_CAP)} ELSE department END AS department,"
+        f" CASE WHEN plain AND written THEN {_clean('title', text.TITLE_CAP)} WHEN plain THEN title END AS title,"
+        f" CASE WHEN plain AND written THEN sha256({_clean(body, text.BODY_CAP)}) WHEN plain THEN sha256(body) END AS body_sha256,"
+        f" CASE WHEN plain THEN sha256(concat_ws(chr(31), {hashed})) END AS content_hash FROM filled"
+    )
+
+
+def _left(rows: DataFrame, *more) -> DataFrame:
+    return rows.select("duid", F.col("tombstone_at").isNotNull().alias("tombstoned"), "source_status", F.col("body").isNotNull().alias("has_body"), _instant("body_expires_at"), _instant("collected_at"), *more)
+
+
+def _merge(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = merge.merge_notices(views.hashed(views.notices(spark, sf_dir)), views.incoming(spark, sf_dir), _LATER, mode)[0]
+    plain = views.notices(spark, sf_dir).select(F.col("duid").cast("long").alias("_id"), F.coalesce(~F.col("body").rlike("[0-9@]"), F.lit(True)).alias("_plain"))
+    rows = rows.join(plain, F.pmod(F.col("duid").cast("long"), F.lit(900_000_000_000)) == F.col("_id"))
+    shown = {"title": F.col("title"), "body_sha256": F.sha2("body", 256), "content_hash": F.col("content_hash")}
+    return _left(rows, "category_id", "category_name", _day("posted_date"), _day("updated_date"), "source_url", "attachments_present", "department", *(F.when(F.col("_plain"), c).alias(k) for k, c in shown.items()))
+
+
+@query(_merged(gone="coalesce(gone, false)", status="coalesce(source_status, 'active')", body="CAST(NULL AS VARCHAR)", expiry="CASE WHEN NOT written THEN body_expires_at END"))
 def upsert_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _left(_merge(spark, sf_dir, merge.METADATA)[0])
+    return _merge(spark, sf_dir, merge.METADATA)
 
 
-@query(f"WITH {_INCOMING} " + _MERGED.format(gone="coalesce(gone, false)", status="coalesce(source_status, 'active')", body="had_body", expiry="CASE WHEN written AND had_body THEN TIMESTAMP '2024-04-02' ELSE body_expires_at END"))
+@query(_merged(gone="coalesce(gone, false)", status="coalesce(source_status, 'active')", body="CASE WHEN stored THEN body END", expiry="CASE WHEN written AND had_body THEN TIMESTAMP '2024-04-02' ELSE body_expires_at END"))
 def upsert_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _left(_merge(spark, sf_dir, merge.SUMMARY)[0])
+    return _merge(spark, sf_dir, merge.SUMMARY)
 
 
-@query(f"WITH {_INCOMING} " + _MERGED.format(gone="NOT written AND gone", status="CASE WHEN written THEN 'active' ELSE source_status END", body="written OR had_body", expiry="CASE WHEN written THEN TIMESTAMP '2024-04-02' ELSE body_expires_at END"))
+@query(_merged(gone="NOT written AND gone", status="CASE WHEN written THEN 'active' ELSE source_status END", body="coalesce(body, '')", expiry="CASE WHEN written THEN TIMESTAMP '2024-04-02' ELSE body_expires_at END"))
 def upsert_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _left(_merge(spark, sf_dir, merge.DETAIL)[0])
+    return _merge(spark, sf_dir, merge.DETAIL)
 
 
 @query(f"WITH {_NOTICES} SELECT row_number() OVER (ORDER BY doc_id) + 100 AS revision_id, duid, '2024-03-03 00:00:00' AS changed_at FROM notices WHERE doc_id % 3 = 0 AND doc_id % 6 = 0")
@@ -441,6 +470,33 @@ def detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("duid", "title", "category_id", _day("posted_date"), "department", "attachments_present", "body")
 
 
+@query(
+    f"WITH {_NOTICES}, last AS (SELECT doc_id % 500 AS k, max(doc_id) FILTER (WHERE doc_id % 7 <> 0) AS shown, max(doc_id) FILTER (WHERE doc_id % 7 = 0) AS gone, count(*) FILTER (WHERE doc_id % 7 <> 0) AS n FROM notices GROUP BY ALL)"
+    " SELECT CAST(k AS VARCHAR) AS duid, 'Capture of ' || x.category_name AS title, x.category_id, x.category_name, strftime(x.posted_date, '%Y-%m-%d') AS posted_date, strftime(x.posted_date, '%Y-%m-%d') AS updated_date,"
+    f" 'Office ' || (shown % 8) AS department, '{_DETAIL}' || k AS source_url, 'Body of ' || (shown % 11) AS body, false AS attachments_present, last.gone IS NOT NULL AS tombstoned,"
+    " sha256(concat_ws(chr(31), CAST(k AS VARCHAR), x.category_id, x.category_name, 'Capture of ' || x.category_name, strftime(x.posted_date, '%Y-%m-%d'), strftime(x.posted_date, '%Y-%m-%d'), 'Office ' || (shown % 8),"
+    f" '{_DETAIL}' || k, 'Body of ' || (shown % 11), 'False')) AS content_hash, n - 1 AS n_overwritten FROM last JOIN notices x ON x.doc_id = shown"
+)
+def captured_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captured detail responses with repeated ids, parsed and merged: of each id the last capture stays, and a 404 of it is a tombstone. The markup is written here."""
+    own = views.notices(spark, sf_dir).withColumn("doc_id", F.col("duid").cast("long"))
+    page = F.concat(
+        F.lit('<article><h1 class="title">Capture of '), F.col("category_name"), F.lit('</h1><span class="category">'), F.col("category_name"), F.lit('</span><span class="posted-date">'), F.date_format("posted_date", "yyyy-MM-dd"),
+        F.lit('</span><span class="writer">Office '), F.pmod("doc_id", F.lit(8)).cast("string"), F.lit('</span><div class="body">Body of '), F.pmod("doc_id", F.lit(11)).cast("string"), F.lit("</div></article>"),
+    )
+    key, missing = F.pmod("doc_id", F.lit(500)).cast("string"), F.pmod("doc_id", F.lit(7)) == 0
+    responses = own.select(
+        F.col("doc_id").alias("page_id"), F.lit("detail").alias("kind"), key.alias("duid"), F.concat(F.lit(_DETAIL), key).alias("url"), F.when(missing, 404).otherwise(200).alias("status_code"),
+        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), page.cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
+    )
+    got = collect_captured(responses)
+    rows, _ = merge.merge_notices(spark.createDataFrame([], NOTICES), got.details, _LATER, merge.DETAIL)
+    counts = got.details.groupBy("duid").agg((F.count(F.lit(1)) - 1).alias("n_overwritten"))
+    rows = merge.apply_tombstones(rows, got.gone, _LATER).join(counts, "duid")
+    columns = ("title", "category_id", "category_name", _day("posted_date"), _day("updated_date"), "department", "source_url", "body", "attachments_present")
+    return rows.select("duid", *columns, F.col("tombstone_at").isNotNull().alias("tombstoned"), "content_hash", "n_overwritten")
+
+
 @query()
 def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, links and text of raw pages. SQL has no HTML parser; a test compares titles with a pattern."""
