@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import set_sketch
 from tidemark.llm._common import WordHashes, ascii_lower, words_of
 from tidemark.llm.set_sketch import BANDS, ROWS, band_keys, components, estimated_similarity, linked, near_duplicate_classes, registers, shingle_set
 
@@ -105,3 +106,52 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(0, 60)] + [(1000, 1002), (1002, 1001)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components(links).collect()}
     assert got == {k: 0 for k in range(61)} | {1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_components_of_stars_and_hubs(spark):
+    links = [(5, k) for k in range(100, 400)] + [(900, k) for k in range(500, 800)] + [(399, 500)] + [(2000 + k, 3000) for k in range(200)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys([5, 900, *range(100, 400), *range(500, 800)], 5) | dict.fromkeys([3000, *range(2000, 2200)], 2000)
+
+
+def template_pages(n, rng, shared=120, own=80):
+    base = [f"t{k}" for k in range(shared)]
+    return [(k, " ".join(base + [f"o{rng.randrange(10**9)}" for _ in range(own)])) for k in range(n)]
+
+
+def test_texts_of_alike_but_unlinked_pages_stay_where_they_are(spark, monkeypatch):
+    asked = []
+    real = set_sketch.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "wanted":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_sketch, "materialize", counted)
+    rows = template_pages(600, random.Random(2))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i for i, _ in rows}
+    assert sum(asked) <= len(rows) // 10
+
+
+def test_pairs_inside_blocks_with_repeated_ids(spark):
+    """Chains inside a bucket whose smallest node is linked with few of them, and documents with two texts."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for g in range(6):
+        start = edited(base, 12, rng)
+        rows += [(100 * g + k + 1, " ".join(edited(start, k % 4, rng))) for k in range(12)]
+    rows += [(700, rows[3][1] + " more"), (700, rows[40][1] + " at the end"), (0, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in near_duplicate_classes(docs).collect()} == brute(rows)
+
+
+def test_a_very_long_text_is_read_whole(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(edited(words, 1500, rng))), (3, " ".join(words[:60_000])), (4, " ".join(words[60_000:]))]
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (c, _) in got.items()} == brute(rows) and got[1][1] > 110_000

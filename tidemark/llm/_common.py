@@ -133,7 +133,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_folder = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._tidemark_folder)
 
 
 def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:

@@ -7,22 +7,23 @@
 3. In each bucket all nodes are compared with its smallest. The joint likelihood of greater, equal and smaller
    registers estimates the similarity; pairs far below the threshold go, the others are confirmed on full sets.
 4. Confirmed links are joined to components. In buckets that still hold several components, the pairs between
-   components are compared in blocks of bounded size, by likelihood first, then on full sets, and only links that
-   join components leave a block. So no bucket is capped, and pairs inside a component are never listed.
+   components are compared in blocks of bounded size: first registers alone meet, and only members of a likely pair
+   get their texts, which are compared on full sets; only links that join components leave a block. So no bucket is
+   capped, and pairs inside a component are never listed.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordHashes, ascii_lower, documents_of, materialize, mixed, texts_in, window_hashes, words_of
+from tidemark.llm._common import WordHashes, ascii_lower, documents_of, forget, materialize, mixed, texts_in, window_hashes, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
@@ -32,6 +33,8 @@ BLOCK = 256
 APART = 1_000_000
 #: Members of one bucket's smallest node that a task compares.
 SALT_ROWS = 200
+#: Tasks over which the rows of one node are dealt where they meet what is known of it.
+SALTS = 64
 
 
 def shingle_set(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -192,72 +195,70 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _per_node(rows: DataFrame, partial: Column, total: Callable[[str], Column]) -> DataFrame:
+    """rows (a, b) with _v, an aggregate over all rows of their a.
+
+    Rows of a node with many of them never meet in one task: they are dealt by (a, salt) and aggregated in two steps, and
+    what is found goes back to the salts that there are, SALTS for a node at most.
+    """
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "_s").agg(partial.alias("_v"))
+    whole = parts.groupBy("a").agg(total("_v").alias("_v"))
+    return salted.join(parts.select("a", "_s").join(whole, "a"), ["a", "_s"]).drop("_s")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the pairs (a, b) that are links. A node with many partners is spread over several tasks."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts"))
-    members = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("node"))
-    heads = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("a").alias("node"))
+    counted = _per_node(pairs, F.count(F.lit(1)), F.sum)
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("_v") / SALT_ROWS)).cast("int").alias("salt")
+    members = counted.select("a", salt, F.lit(1).alias("member"), F.col("b").alias("node"))
+    heads = members.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("node"))
     asked = members.unionByName(heads).join(texts, "node")
     return asked.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(_confirmed(percent, size), "a long, b long")
 
 
-def _blocks(percent: int, bands: int, rows: int, size: int):
-    """Links between components in one bucket's pair of blocks. A pair is compared in the first band that it shares,
-    and not if one of the two is the bucket's head, which was compared with all. Links found here join components."""
-    cut = prune_below(percent / 100, bands * rows)
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    hashes = WordHashes()
-
-    def compared(bucket: int, members: list[tuple]) -> list[tuple[int, int]]:
-        left = [r for r in members if r[0] != 1]
-        right = left if left and left[0][0] == 2 else [r for r in members if r[0] == 1]
-        if not left or not right:
-            return []
-        node, comp, head, n = (np.array([r[k] for r in right], np.int64) for k in (1, 2, 3, 4))
-        regs = np.frombuffer(b"".join(r[5] for r in right), np.uint16).reshape(len(right), -1)
-        own = np.frombuffer(b"".join(r[5] for r in left), np.uint16).reshape(len(left), -1)
-        keys, own_keys = band_keys(regs, bands, rows), band_keys(own, bands, rows)
-        joined: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while c in joined:
-                c = joined[c]
-            return c
-
-        sets: dict[int, np.ndarray] = {}
-
-        def of(row: tuple) -> np.ndarray:
-            if row[1] not in sets:
-                sets[row[1]] = shingle_set(row[6], hashes, size)
-            return sets[row[1]]
-
-        out = []
-        for i, (side, a, comp_a, _, na, _, _) in enumerate(left):
-            able = (comp != comp_a) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na)) & (node != head) & (a != head)
+class _Block:
+    """Members of one bucket's pair of blocks, rows (side, node, comp, head, n, regs, ...): side 2 is a block with itself,
+    else 0 meets 1. A pair is looked at in the first band that it shares, and not if one of the two is the bucket's head,
+    which was compared with all."""
+
+    def __init__(self, bucket: int, members: list[tuple], percent: int, bands: int, rows: int):
+        self.bucket, self.percent, self.cut = bucket, percent, prune_below(percent / 100, bands * rows)
+        self.left = [r for r in members if r[0] != 1]
+        self.right = self.left if self.left and self.left[0][0] == 2 else [r for r in members if r[0] == 1]
+        if self.left and self.right:
+            self.node, self.comp, self.head, self.n = (np.array([r[k] for r in self.right], np.int64) for k in (1, 2, 3, 4))
+            self.regs, self.own = (np.frombuffer(b"".join(r[5] for r in side), np.uint16).reshape(len(side), -1) for side in (self.right, self.left))
+            self.keys, self.own_keys = band_keys(self.regs, bands, rows), band_keys(self.own, bands, rows)
+
+    def likely(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(place on the left, places on the right) of pairs between components that the registers let pass."""
+        for i, (side, a, comp, _, na, *_) in enumerate(self.left if self.right else []):
+            able = (self.comp != comp) & (100 * np.minimum(self.n, na) >= self.percent * np.maximum(self.n, na)) & (self.node != self.head) & (a != self.head)
             if side == 2:
-                able &= node > a
+                able &= self.node > a
             at = np.flatnonzero(able)
             if len(at):
-                first = (keys[at] == own_keys[i]).argmax(1)
-                at = at[keys.view(np.int64)[at, first] == bucket]
+                first = (self.keys[at] == self.own_keys[i]).argmax(1)
+                at = at[self.keys.view(np.int64)[at, first] == self.bucket]
             if len(at):
-                at = at[likely_at_least(cut, np.broadcast_to(own[i], (len(at), own.shape[1])), regs[at], np.full(len(at), float(na)), n[at].astype(float))]
-            for k in at.tolist():
-                x, y = root(comp_a), root(int(comp[k]))
-                if x != y and linked(of(left[i]), of(right[k]), percent):
-                    joined[max(x, y)] = min(x, y)
-                    out.append((a, int(node[k])))
-        return out
+                at = at[likely_at_least(self.cut, np.broadcast_to(self.own[i], (len(at), self.own.shape[1])), self.regs[at], np.full(len(at), float(na)), self.n[at].astype(float))]
+            if len(at):
+                yield i, at
+
+
+def _by_block(found: Callable[[tuple, list[tuple]], list[tuple]], schema: pa.Schema):
+    """Applies found to each group of rows with equal (bucket, i, j); the rows are sorted by it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members = None, []
 
         def done() -> pa.RecordBatch:
-            found = compared(key[0], members) if key is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+            rows = found(key, members) if key is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(schema.types)], schema=schema)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if row[:3] != key:
                     yield done()
                     key, members = row[:3], []
@@ -267,6 +268,55 @@ def _blocks(percent: int, bands: int, rows: int, size: int):
     return run
 
 
+def _wanted(percent: int, bands: int, rows: int):
+    """The members of a pair of blocks that are in a likely pair."""
+
+    def found(key: tuple, members: list[tuple]) -> list[tuple]:
+        block = _Block(key[0], members, percent, bands, rows)
+        lefts, rights = set(), set()
+        for i, at in block.likely():
+            lefts.add(i)
+            rights.update(at.tolist())
+        chosen = [block.left[i] for i in sorted(lefts | rights)] if block.right is block.left else [*(block.left[i] for i in sorted(lefts)), *(block.right[k] for k in sorted(rights))]
+        return [(*key, *r) for r in chosen]
+
+    return _by_block(found, pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("head", pa.int64()), ("n", pa.int64()), ("regs", pa.binary())]))
+
+
+def _blocks(percent: int, bands: int, rows: int, size: int):
+    """Links between components in one bucket's pair of blocks; of those that join the same components one."""
+    hashes = WordHashes()
+
+    def found(key: tuple, members: list[tuple]) -> list[tuple[int, int]]:
+        block = _Block(key[0], members, percent, bands, rows)
+        joined: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
+        # By place, not by node: rows that share a doc_id may have different texts.
+        sets: dict[tuple[bool, int], np.ndarray] = {}
+
+        def of(right: bool, k: int) -> np.ndarray:
+            place = right and block.right is not block.left, k
+            if place not in sets:
+                sets[place] = shingle_set((block.right if right else block.left)[k][6], hashes, size)
+            return sets[place]
+
+        out = []
+        for i, at in block.likely():
+            for k in at.tolist():
+                x, y = root(block.left[i][2]), root(int(block.comp[k]))
+                if x != y and linked(of(False, i), of(True, k), percent):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((block.left[i][1], int(block.node[k])))
+        return out
+
+    return _by_block(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
 def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket of three nodes or more.
 
@@ -284,10 +334,13 @@ def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame,
     inside = inside.withColumn("block", place + F.when(F.col("apart"), APART).otherwise(0))
     own, large = F.sequence(F.lit(0), own_blocks - 1), F.sequence(F.lit(APART), large_blocks + (APART - 1))
     other = F.explode(F.when(F.col("apart"), own).otherwise(F.concat(own, large))).alias("other")
-    spread = inside.select("bucket", "node", "comp", "head", "block", other).join(nodes, "node").join(texts, "node")
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "head", "n", "regs", "text")
-    return spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_blocks(percent, bands, rows, size), "a long, b long")
+    spread = inside.select("bucket", "node", "comp", "head", "block", other).join(nodes, "node")
+    spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "head", "n", "regs")
+    block = ["bucket", "i", "j"]
+    likely = spread.repartition(*block).sortWithinPartitions(*block).mapInArrow(_wanted(percent, bands, rows), spread.schema)
+    asked = materialize(likely, "wanted").join(texts, "node").select(*spread.columns, "text")
+    return asked.repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks(percent, bands, rows, size), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,11 +351,9 @@ def components(links: DataFrame) -> DataFrame:
 
     def step(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(small, "a")
-        return hung.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = _per_node(both, F.min("b"), F.min).where("b > a").select(F.col("b").alias("a"), F.least("_v", "a").alias("b")).where("a != b")
+        hung = _per_node(large, F.min("b"), F.min)
+        return hung.select(F.when(F.col("b") == F.col("_v"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("_v").alias("b")).where("a != b").distinct()
 
     def mark(edges: DataFrame):
         return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -313,7 +364,8 @@ def components(links: DataFrame) -> DataFrame:
         before = now
         if not now[0]:
             break
-        edges = materialize(step(edges), "edges")
+        old, edges = edges, materialize(step(edges), "edges")
+        forget(old)
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("comp"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
@@ -327,7 +379,7 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
     Null texts and texts without words have an empty set and are linked with nothing. Texts of fewer words than a
     shingle are one shingle. Rows that share a doc_id are one document, which is linked through any of its texts;
     of such rows all have the same kept. A row without doc_id is linked with nothing: component_id null, kept true.
-    An empty table gives no rows. With the default bands a pair at exactly 85 % is missed with a chance below 1e-6.
+    Very long texts count whole. Other columns are not read, whatever their names. An empty table gives no rows. With the default bands a pair at exactly 85 % is missed with a chance below 1e-6.
     """
     m, threshold = bands * rows, percent / 100
     plain = documents_of(docs, id_col, text_col)
@@ -351,12 +403,17 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
     more = materialize(_between_components(buckets, labels, sketches, texts, percent, bands, rows, size), "more")
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
+    # Labels are a table of their own now; of the rest only the sketches and nodes are read again.
+    forget(buckets, likely, texts, more)
     # Equal sets share a node; a document with several texts joins their nodes.
     own = able.select("doc_id", "same").distinct().join(nodes.select("same", "node"), "same").select("doc_id", "node")
     if own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").limit(1).count():
         extra = own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a != b")
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).where("a != b").union(extra))
     where_ = nodes.select("same", "node").join(labels, "node", "left").select("same", F.coalesce("comp", "node").alias("component_id"))
-    got = rows_.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(where_, "same", "left")
+    # Rows without a set, or without an id, don't take part in the join: their null keys would all go to one task.
+    linkable = F.col("doc_id").isNotNull() & F.col("same").isNotNull()
+    alone = rows_.where(~linkable).select("doc_id", "n", F.lit(None).cast("long").alias("component_id"))
+    got = rows_.where(linkable).select("doc_id", "n", "same").join(where_, "same", "left").select("doc_id", "n", "component_id").unionAll(alone)
     component = F.coalesce("component_id", "doc_id")
     return got.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
