@@ -15,7 +15,7 @@ ROWS = [
 ]
 
 
-def brute(rows):
+def brute(rows, keep_order=False):
     key = lambda x: ascii_lower(x.strip(BLANKS))
     owner, holders = {}, {}
     for i, t in rows:
@@ -29,7 +29,7 @@ def brute(rows):
         lines = (t or "").split("\n")
         stay = [x for x in lines if i is None or len(key(x)) < 10 or len(holders[key(x)]) < 2 or owner[key(x)] == i]
         out.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
-    return sorted(out, key=str)
+    return out if keep_order else sorted(out, key=str)
 
 
 def frame(spark, rows):
@@ -65,6 +65,48 @@ def test_levels_compact(spark):
         LineRuns(spark, fanout=1)
 
 
+def test_runs_outlive_a_session(spark, tmp_path):
+    days = [frame(spark, [r for r in ROWS if r[0] is not None and r[0] % 3 == k]) for k in range(3)]
+    texts = {i: t for i, t in ROWS if i is not None}
+    seen: set[str] = set()
+    for k, day in enumerate(days):
+        other = spark.newSession()
+        other.conf.set("spark.sql.shuffle.partitions", str(3 + k))  # the number of buckets stays that of the first day
+        runs = LineRuns(other, fanout=2, folder=f"{tmp_path}/runs")
+        got = {r["doc_id"]: r["_kept"] for r in dedup_lines(other.createDataFrame(day.collect(), day.schema), batches=2, runs=runs).collect() if r["doc_id"] != 11}
+        for i in sorted(got):
+            keys = [ascii_lower(x.strip(BLANKS)) for x in (texts[i] or "").split("\n")]
+            assert got[i] == "\n".join(x for x, key in zip((texts[i] or "").split("\n"), keys, strict=True) if len(key) < 10 or key not in seen)
+            seen |= {key for key in keys if len(key) >= 10}
+        seen |= {"twice in one"} if 11 % 3 == k else set()
+        assert runs.buckets == 3
+    runs.vacuum()
+    again = LineRuns(spark, folder=f"{tmp_path}/runs")
+    assert again.levels == runs.levels and again.known().count() == len(seen)
+
+
+def test_a_merge_moves_the_new_batch_only(spark, tmp_path):
+    own = spark.newSession()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    runs = LineRuns(own, fanout=9, folder=f"{tmp_path}/runs")
+    docs = own.createDataFrame([(k, f"a line of number {k}\nand one of all of them") for k in range(50)], "doc_id long, text string")
+    for k in range(3):
+        runs.add(hashed_lines(docs.where(f"doc_id % 4 = {k}")))
+    tables = [runs._named(run) for run in runs.levels[0]]
+    plan = runs.merged(hashed_lines(docs), tables)._jdf.queryExecution().executedPlan().toString()
+    for table in tables:
+        own.sql(f"DROP TABLE {table}")
+    initial = plan.split("== Final Plan ==")[-1]
+    assert initial.count("SortMergeJoin") == 3 and initial.count("Exchange") == 1 and initial.count("Bucketed: true") == 3
+
+
+def test_long_texts_and_hot_lines(spark):
+    long = "\n".join(f"line number {k} of a long text" for k in range(60_000))
+    rows = [(1, long), (2, long + "\nsomething of its own"), (3, "x" * 2_000_000), (4, "y\n" + "x" * 2_000_000)]
+    got = {r["doc_id"]: (r["_n_lines"], r["_n_dropped"], r["_kept"]) for r in dedup_lines(frame(spark, rows)).collect()}
+    assert got == {1: (60_000, 0, long), 2: (60_001, 60_000, "something of its own"), 3: (1, 0, "x" * 2_000_000), 4: (2, 1, "y")}
+
+
 def test_hash_of_kept_text(spark):
     from tidemark.llm.registry import op6_line_dedup
 
