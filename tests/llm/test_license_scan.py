@@ -1,6 +1,6 @@
 import random
 
-from tidemark.llm.license_scan import BAND, TEMPLATES, TemplateIndex, banded_alignment, scan_licenses, winnowed, words_in
+from tidemark.llm.license_scan import BAND, TEMPLATES, TemplateIndex, banded_alignment, license_texts, scan_licenses, winnowed, words_in
 from tidemark.llm._common import WordHashes, window_hashes
 
 
@@ -98,3 +98,33 @@ def test_nulls_empty_ties_and_casefolding(spark):
     assert got == [(0, "MIT", "short", 5, 35), (3, "MIT", "short", 0, 30), (3, "MIT", "short", 32, 62), (5, "MIT", "short", 500_000, 500_030)]
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert TemplateIndex([]).matches(["a", "b"], WordHashes()) == []
+
+
+def test_whole_texts_are_found_with_edits(spark):
+    rng = random.Random(9)
+    texts = license_texts()
+    assert {t.license for t in texts} >= {"MIT", "ISC", "BSD-3-Clause", "Zlib"}
+    docs, want = [], {}
+    for d in range(24):
+        t = texts[d % len(texts)]
+        own = words_in(t.text)
+        spots = [i for i, w in enumerate(own) if w not in t.needed]
+        edits = set(rng.sample(spots, round(len(own) * rng.choice((0, 0.05, 0.12)))))
+        docs.append((d, " ".join([*noise(rng, 50), *("zz" if i in edits else w for i, w in enumerate(own)), *noise(rng, 50)])))
+        want[d] = (t.license, len(own) - len(edits))
+    got = {(r["doc_id"], r["license"]): r for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).where("template = 'whole text'").collect()}
+    assert {(d, license) for d, (license, _) in want.items()} == set(got)
+    assert all(got[d, license]["matched"] >= left for d, (license, left) in want.items())
+
+
+def test_one_other_word_in_a_short_notice(spark):
+    docs = [(1, "Licensed under this MIT License"), (2, "Released under our MIT License, see there"), (3, "Licensed under CC BY-NC 4.0")]
+    got = {(r["doc_id"], r["license"]) for r in scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, "MIT"), (2, "MIT"), (3, "CC-BY-NC-4.0")}
+
+
+def test_many_notices_in_one_text():
+    index, hashes = TemplateIndex(), WordHashes()
+    words = words_in("Released under the MIT License. Some other words here. " * 4000)
+    found = index.matches(words, hashes)
+    assert len(found) == 4000 and all(a.last < b.first for a, b in zip(found, found[1:]))

@@ -2,7 +2,8 @@
 
 Templates and documents are lists of lower-cased words. Of the hashes of two words in a row, winnowing keeps the
 smallest in each two neighbours, so any three words in a row that a template and a document share give a common
-fingerprint. An inverted index of the templates' fingerprints turns the documents' ones into hits (template,
+fingerprint. Of templates of a dozen words all hashes count, because one other word may leave no three in a row. An
+inverted index of the templates' fingerprints turns the documents' ones into hits (template,
 diagonal); hits near each other are a candidate. A banded alignment of the template with the words around it gives
 the matched words and their span. Templates are few and of known size, so the index is part of the task.
 """
@@ -10,9 +11,11 @@ the matched words and their span. Templates are few and of known size, so the in
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,9 @@ from tidemark.llm._common import WordHashes, documents_of, window_hashes
 
 MIN_COVERAGE = 0.8
 BAND = 8
+#: Templates of fewer words have all their hashes in the index; in longer ones than MANY_WORDS, which share dozens of
+#: fingerprints with a match, one hit alone is no candidate.
+FEW_WORDS, MANY_WORDS = 12, 60
 #: Bound of the templates' words together, checked before the index is made.
 MAX_TEMPLATE_WORDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -74,6 +80,16 @@ TEMPLATES = (
 )
 
 
+#: Words that only the whole text of the license has, beside those of its relatives.
+_TEXT_NEEDS = {"BSD-3-Clause": ("neither", "endorse")}
+
+
+def license_texts() -> tuple[Template, ...]:
+    """Whole texts of licenses, out of the files beside this module; further files are further licenses."""
+    files = sorted((Path(__file__).parent / "licenses").glob("*.txt"))
+    return tuple(Template(f.stem, "whole text", f.read_text(encoding="utf-8"), _TEXT_NEEDS.get(f.stem, ())) for f in files)
+
+
 def words_in(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
@@ -143,46 +159,58 @@ class TemplateIndex:
             raise ValueError("these templates are too many words for one index")
         self.min_coverage, self.band = min_coverage, band
         hashes = WordHashes()
-        self.index: dict[int, list[tuple[int, int]]] = {}
+        # Fingerprints by how documents are looked through: winnowed pairs of words, all pairs, single words.
+        self.index: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {}, {})
         for k, words in enumerate(self.words):
             own = window_hashes(hashes.array(words), (0, 1)) if len(words) > 1 else hashes.array(words)
-            for p in winnowed(own).tolist():
-                self.index.setdefault(int(own[p]), []).append((k, p))
-        self.single = any(len(w) == 1 for w in self.words)
-        self._table = np.zeros(1 << 20, bool)
-        if self.index:
-            self._table[np.array(list(self.index), np.uint64) >> np.uint64(44)] = True
+            kind = 2 if len(words) == 1 else 1 if len(words) < FEW_WORDS else 0
+            for p in (np.arange(len(own)) if kind else winnowed(own)).tolist():
+                self.index[kind].setdefault(int(own[p]), []).append((k, p))
+        self._tables = [np.zeros(1 << 20, bool) for _ in self.index]
+        for table, found in zip(self._tables, self.index, strict=True):
+            if found:
+                table[np.array(list(found), np.uint64) >> np.uint64(44)] = True
         self.bags = [Counter(w) for w in self.words]
 
     def matches(self, words: list[str], hashes: WordHashes) -> list[Match]:
         """All matches in a document, in order of place: of overlapping ones of a license the best."""
         own = hashes.array(words)
         marks = window_hashes(own, (0, 1))
-        hits: dict[int, list[tuple[int, int]]] = {}
-        for values, spots in ((marks, winnowed(marks)), (own, np.arange(len(own)) if self.single else np.arange(0))):
-            for p in spots[self._table[values[spots] >> np.uint64(44)]].tolist() if len(spots) else ():
-                for k, at in self.index.get(int(values[p]), ()):
-                    hits.setdefault(k, []).append((p - at, p))
+        hits: dict[int, Counter[int]] = {}
+        for index, table, values, chosen in zip(self.index, self._tables, (marks, marks, own), (winnowed, lambda v: np.arange(len(v)), lambda v: np.arange(len(v))), strict=True):
+            if not index or not len(values):
+                continue
+            spots = chosen(values)
+            for p in spots[table[values[spots] >> np.uint64(44)]].tolist():
+                for k, at in index.get(int(values[p]), ()):
+                    hits.setdefault(k, Counter())[p - at] += 1
         out: list[Match] = []
         for k, own_hits in hits.items():
-            out += self._of_template(k, sorted(set(d for d, _ in own_hits)), words)
+            out += self._of_template(k, own_hits, words)
+        # Of a license, matches that were chosen don't overlap: only the neighbours of a place need a look.
+        chosen_of: dict[str, list[tuple[int, int]]] = {}
         chosen: list[Match] = []
         for m in sorted(out, key=lambda m: (-m.matched, m.last - m.first, m.first, m.template.name)):
-            if all(m.template.license != c.template.license or m.last < c.first or m.first > c.last for c in chosen):
+            places = chosen_of.setdefault(m.template.license, [])
+            at = bisect_left(places, (m.first, m.last))
+            if (at == 0 or places[at - 1][1] < m.first) and (at == len(places) or places[at][0] > m.last):
+                places.insert(at, (m.first, m.last))
                 chosen.append(m)
         return sorted(chosen, key=lambda m: (m.first, m.last, m.template.license))
 
-    def _of_template(self, k: int, diagonals: list[int], words: list[str]) -> list[Match]:
+    def _of_template(self, k: int, diagonals: Counter[int], words: list[str]) -> list[Match]:
         own, template = self.words[k], self.templates[k]
         least = -(-len(own) * round(self.min_coverage * 1000) // 1000)
         groups: list[list[int]] = []
-        for d in diagonals:
+        for d in sorted(diagonals):
             if groups and d - groups[-1][0] <= self.band:
                 groups[-1].append(d)
             else:
                 groups.append([d])
         found, bag = [], self.bags[k]
         for g in groups:
+            if len(own) > MANY_WORDS and sum(diagonals[d] for d in g) < 2:
+                continue
             low, high = g[0] - self.band, g[-1] + self.band
             todo = [(max(0, low), min(len(words), high + len(own)))]
             while todo:  # what is left and right of a match may hold another one
@@ -228,12 +256,16 @@ def _spans(text: str) -> list[tuple[int, int]]:
     return [(place[m.start()], place[m.end() - 1] + 1) for m in _WORD.finditer(text.lower())]
 
 
-def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, min_coverage: float = MIN_COVERAGE, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: Sequence[Template] | None = None, min_coverage: float = MIN_COVERAGE, band: int = BAND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each match: doc_id, license, template, matched (words), coverage (of the template), start_char, end_char.
 
+    The templates are TEMPLATES (notices and opening paragraphs) and license_texts() (whole texts), unless given.
+
     Documents without a match, null and empty ones among them, give no row; an empty table gives none. Of overlapping
     matches of one license the one with most words stays, then the shortest, then the first. Matches of different
-    licenses may overlap. Repeated rows are scanned each; a null doc_id stays null.
+    licenses may overlap. Very long texts are scanned whole. Repeated rows are scanned each; a null doc_id stays null.
+    Other columns are not read, whatever their names.
     """
+    templates = (*TEMPLATES, *license_texts()) if templates is None else templates
     schema = "doc_id long, license string, template string, matched long, coverage double, start_char long, end_char long"
     return documents_of(docs, id_col, text_col).mapInArrow(_scanned(TemplateIndex(templates, min_coverage, band)), schema)
