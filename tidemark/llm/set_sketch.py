@@ -32,7 +32,7 @@ BLOCK = 256
 #: Number of the first block of a bucket's largest component.
 APART = 1_000_000
 #: Members of one bucket's smallest node that a task compares.
-SALT_ROWS = 200
+SALT_ROWS = 64
 #: Tasks over which the rows of one node are dealt where they meet what is known of it.
 SALTS = 64
 
