@@ -204,7 +204,9 @@ def _per_node(rows: DataFrame, partial: Column, total: Callable[[str], Column])
     salted = rows.withColumn("_s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     parts = salted.groupBy("a", "_s").agg(partial.alias("_v"))
     whole = parts.groupBy("a").agg(total("_v").alias("_v"))
-    return salted.join(parts.select("a", "_s").join(whole, "a"), ["a", "_s"]).drop("_s")
+    # Merged, not broadcast: rounds of components have dozens of these joins, and broadcast tables add up in the executors.
+    spread = parts.select("a", "_s").join(whole.hint("merge"), "a")
+    return salted.join(spread.hint("merge"), ["a", "_s"]).drop("_s")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
