@@ -214,7 +214,7 @@ class NoticeStore:
 
     def search_index(self) -> SearchIndex:
         own = self._manifest["notices"]
-        if (own["base"] or own["deltas"]) and own["n"] and not self._manifest["postings"]:
+        if own["words"] and not self._manifest["postings"]:
             raise SearchUnavailableError("this version of the store has no postings")
         return SearchIndex(self._postings, self._stored(), own["n"], own["words"])
 
@@ -318,6 +318,8 @@ class NoticeStore:
         before, after = sums["before"], sums["after"]
         notices = own | {"deltas": [*own["deltas"], {"path": path, "rows": after["rows"], "level": 0}], "written": written}
         notices |= {k: own[k] + after[k] - before[k] for k in ("n", "words")}
+        if not after["words"]:  # tombstones only: nothing to find in them
+            return {"notices": notices}
         return {"notices": notices, "postings": [*self._manifest["postings"], self._indexed(index_rows(delta), after["words"])]}
 
     def _indexed(self, rows: DataFrame, words: int, level: int = 0) -> dict:
@@ -392,8 +394,8 @@ class NoticeStore:
         if n := _of_one_size(postings):
             live = self._stored().where("tombstone_at IS NULL").select("duid", "_version")
             kept = self._read("postings", [layer["path"] for layer in postings[-n:]]).join(live, ["duid", "_version"], "left_semi")
-            merged = self._indexed(kept, sum(layer["words"] for layer in postings[-n:]), postings[-1]["level"] + 1)
-            tables["postings"] = [*postings[:-n], merged]
+            words, level = sum(layer["words"] for layer in postings[-n:]), postings[-1]["level"] + 1
+            tables["postings"] = [*postings[:-n], *([self._indexed(kept, words, level)] if kept.limit(1).count() else [])]
             tables.setdefault("notices", own)  # made of these notices: another writer's change to them makes it anew
         return tables or None
 
