@@ -275,11 +275,11 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["crawl", "--max-pages", "99", *at], spark) == 12
     (tmp_path / "file").write_text("x")
     assert cli.main(["status", "--store", f"{tmp_path}/file"], spark) == 12
-    asked = ['{"tool": "list_categories"}', "", "nonsense", '{"tool": "drop"}', '{"tool": "get_notice", "arguments": {"duid": "1"}}', '{"tool": "get_notice", "arguments": {"x": 1}}']
-    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(asked)))
+    asked = [{"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": given}} for name, given in (("list_categories", {}), ("get_notice", {"duid": "1"}))]
+    monkeypatch.setattr("sys.stdin", io.StringIO("\n".join(map(json.dumps, asked))))
     assert cli.main(["serve", *at], spark) == 0
-    answers = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
-    assert len(answers[0]["categories"]) == 11 and [a["error"] and a["error"]["code"] for a in answers[1:]] == ["invalid_input", "invalid_input", None, "invalid_input"]
+    answers = [json.loads(x)["result"]["structuredContent"] for x in capsys.readouterr().out.splitlines()]
+    assert len(answers[0]["categories"]) == 11 and answers[1]["notice"]["summary"]["title"] == "One"
 
 
 def test_settings(tmp_path):

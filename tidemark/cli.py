@@ -16,8 +16,9 @@ from pyspark.sql import Row, SparkSession
 from tidemark.operators.errors import StorageError
 from tidemark.operators.feed import active_count, freshness_histogram
 from tidemark.plans.collect import Collector, RunResult
-from tidemark.plans.service import NoticeService, as_json
+from tidemark.plans.service import NoticeService
 from tidemark.plans.settings import BadConfiguration, Settings, load_settings
+from tidemark.server import serve
 from tidemark.sources.store import open_store
 from tidemark.sources.wire import Transport, UrlTransport
 
@@ -90,25 +91,6 @@ def crawl(spark: SparkSession, settings: Settings, transport: Transport | None =
     return result, store.get_run(result.run_id)
 
 
-_TOOLS = ("search_notices", "get_notice", "list_latest_notices", "list_categories")
-
-
-def serve(service: NoticeService, lines, out) -> None:
-    """Answers requests {"tool": name, "arguments": {...}}, one JSON line each, until the input ends."""
-    for line in lines:
-        if not line.strip():
-            continue
-        try:
-            asked = json.loads(line)
-            name, arguments = asked["tool"], asked.get("arguments", {})
-            if name not in _TOOLS:
-                raise KeyError(name)
-            answer = as_json(getattr(service, name)(**arguments))
-        except (ValueError, KeyError, TypeError):
-            answer = {"error": {"code": "invalid_input", "message": "no such tool or arguments", "retryable": False}}
-        print(json.dumps(answer, ensure_ascii=False), file=out, flush=True)
-
-
 def _session() -> SparkSession:
     return SparkSession.builder.appName("tidemark").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import http.client
 import time
+import urllib.request
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -20,6 +22,7 @@ MAX_BODY = 4 * 1024 * 1024
 MAX_ATTEMPTS, MAX_HOPS, MAX_REQUESTS = 3, 5, 500
 MIN_DELAY = 2.0
 CONNECT_TIMEOUT, READ_TIMEOUT = 5.0, 30.0
+BODY_SECONDS = 120.0
 USER_AGENT = "tidemark/0.1 (+local metadata collector)"
 ROBOTS, NOTICE = "robots", "notice"
 
@@ -66,32 +69,58 @@ class Transport(Protocol):
 
 
 class UrlTransport:
-    """One GET over the standard library, without redirects, read up to MAX_BODY. Runs on the driver only."""
+    """One GET over the standard library, without redirects, read up to MAX_BODY. Runs on the driver only.
 
-    def __init__(self, user_agent: str = USER_AGENT):
-        import urllib.request
+    Connecting has CONNECT_TIMEOUT, each wait for bytes READ_TIMEOUT, the whole body ``body_seconds``. A body that
+    breaks off before its declared end counts as a failed connection.
+    """
+
+    def __init__(self, user_agent: str = USER_AGENT, body_seconds: float = BODY_SECONDS):
+        def timed(kind: type) -> type:
+            class Timed(kind):
+                def connect(self):
+                    super().connect()
+                    self.sock.settimeout(READ_TIMEOUT)
+
+            return Timed
+
+        plain, secure = timed(http.client.HTTPConnection), timed(http.client.HTTPSConnection)
+
+        class Plain(urllib.request.HTTPHandler):
+            def http_open(self, asked):
+                return self.do_open(plain, asked)
 
-        class Stay(urllib.request.HTTPRedirectHandler):
-            def redirect_request(self, *_):
-                return None
+        class Secure(urllib.request.HTTPSHandler):
+            def https_open(self, asked):
+                return self.do_open(secure, asked)
 
-        self._opener = urllib.request.build_opener(Stay)
+        class AsIs(urllib.request.HTTPErrorProcessor):
+            def http_response(self, _, reply):
+                return reply
+
+            https_response = http_response
+
+        self._opener = urllib.request.build_opener(Plain, Secure, AsIs)
         self._opener.addheaders = [("User-Agent", user_agent)]
+        self._body_seconds = body_seconds
 
     def request(self, url: str) -> Response:
-        import urllib.error
-
         try:
-            reply = self._opener.open(url, timeout=READ_TIMEOUT)
-        except urllib.error.HTTPError as error:
-            reply = error
-        except OSError as error:
+            with self._opener.open(url, timeout=CONNECT_TIMEOUT) as reply:
+                body, until = bytearray(), time.monotonic() + self._body_seconds
+                while part := reply.read1(64 * 1024):
+                    body += part
+                    if len(body) > MAX_BODY:
+                        raise ResponseTooLarge
+                    if time.monotonic() > until:
+                        raise TimeoutError
+                if reply.length:
+                    raise http.client.IncompleteRead(bytes(body), reply.length)
+                return Response(reply.status, dict(reply.headers), bytes(body))
+        except WireError:
+            raise
+        except (OSError, http.client.HTTPException) as error:
             raise ConnectionFailed from error
-        with reply:
-            body = reply.read(MAX_BODY + 1)
-            if len(body) > MAX_BODY:
-                raise ResponseTooLarge
-            return Response(reply.status, dict(reply.headers), body)
 
 
 @dataclass
