@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.best_fit_packing import CAPACITY, END_ID, IdBytes, exact_patterns, pack_documents, packing_plan
+from tidemark.llm.best_fit_packing import CAPACITY, END_ID, IdBytes, exact_patterns, fitted_counts, pack_documents, packing_plan
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,58 @@ def test_exact_patterns_are_all_pairs_and_triples():
     assert got == {(5, 5), (2, 3, 5), (2, 4, 4), (3, 3, 4)}
 
 
+def active_set_fit(a, b):
+    """Non-negative least squares by the active-set method of Lawson and Hanson."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        slope = a.T @ (b - a @ x)
+        if not (~free & (slope > 1e-7)).any():
+            return x
+        free[np.where(free, -np.inf, slope).argmax()] = True
+        while True:
+            tried = np.zeros_like(x)
+            tried[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            low = free & (tried <= 1e-9)
+            if not low.any():
+                x = tried
+                break
+            x += min(1.0, (x[low] / np.maximum(x[low] - tried[low], 1e-12)).min()) * (tried - x)
+            free &= x > 1e-9
+            x[~free] = 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_fit_converges_to_the_least_squares_optimum(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(12, 40))
+    lengths = rng.integers(1, capacity, 400) if seed % 2 else np.minimum(capacity - 1, rng.geometric(3 / capacity, 400))
+    hist = np.bincount(lengths, minlength=capacity + 1)
+    patterns = exact_patterns(np.flatnonzero(hist), capacity)
+    a = np.zeros((capacity + 1, len(patterns)))
+    for k in range(3):
+        np.add.at(a, (patterns[:, k], np.arange(len(patterns))), 1)
+    a[0] = 0
+    best = active_set_fit(a, hist.astype(float))
+    assert (best >= 0).all()
+    # Distances to the histogram, as shares of it. The 200 rounds of the plan stop short of the optimum, by how much is their bound.
+    optimum = float(np.linalg.norm(hist - a @ best) / np.linalg.norm(hist))
+    for rounds, beyond in ((200, 0.03), (20_000, 0.001)):
+        got = fitted_counts(patterns, hist, rounds)
+        assert (got >= 0).all() and optimum - 1e-6 <= np.linalg.norm(hist - a @ got) / np.linalg.norm(hist) <= optimum + beyond
+
+
+def test_long_texts_repeated_rows_and_clashing_names(spark, tokenizer):
+    text = "long words and more of them, " * 40_000
+    docs = spark.createDataFrame([(1, text, 7, "x"), (2, "short", 8, "y"), (2, "short", 8, "y"), (None, None, 9, None)], "doc_id long, text string, piece int, sequence_id string")
+    rows = pack_documents(docs).collect()
+    ids = [*tokenizer.encode(text, add_special_tokens=False).ids, END_ID]
+    own = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["piece"])
+    assert [r["piece"] for r in own] == list(range(-(-len(ids) // CAPACITY))) and sum(r["length"] for r in own) == len(ids)
+    for r in own:
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    assert sum(r["doc_id"] == 2 for r in rows) == 2 and [r["length"] for r in rows if r["doc_id"] is None] == [1]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_places_every_length_once_and_uses_few_sequences(seed):
     rng = np.random.default_rng(seed)

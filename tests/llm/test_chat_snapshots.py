@@ -45,3 +45,11 @@ def test_a_common_first_turn_and_a_long_conversation(spark):
 def test_empty_table_and_turn_bytes(spark):
     assert maximal_conversations(spark.createDataFrame([], SCHEMA)).count() == 0
     assert len({turn_bytes(*x) for x in ((None, None), ("", None), (None, ""), ("", ""), ("a", "b"), ("ab", ""), ("", "ab"))}) == 7
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    text = "x" * 2_000_000
+    rows = [(1, 0, "user", text, "h", 1), (2, 0, "user", text, "h", 2), (2, 1, "user", text + "y", "h", 3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, hash string, n_turns int")
+    got = maximal_conversations(df).collect()
+    assert [(r["conv_id"], r["n_turns"], r["n_equal"]) for r in got] == [(2, 2, 1)] and text + "y" in got[0]["text"]

@@ -57,8 +57,9 @@ def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
 
     Turns go by turn, then role, then text, nulls first; so ties and repeated rows have one order, and repeated rows
     are turns like others. A null role is rendered as unknown, a null text as empty, but they differ from those when
-    conversations are compared. Turns without a conversation id are left out. An empty table gives no rows. A
-    conversation is one row of the result, so it is the unit that must fit into a task.
+    conversations are compared. Turns without a conversation id are left out. Very long texts are hashed and rendered
+    whole. Other columns are not read, whatever their names. An empty table gives no rows. A conversation is one row
+    of the result, so it is the unit that must fit into a task.
     """
     own = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).where("conv_id IS NOT NULL")
     in_order = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
