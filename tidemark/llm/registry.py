@@ -11,8 +11,10 @@ from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.line_crf import fit_lines, rule_quality
 from tidemark.llm.line_runs import dedup_lines
 from tidemark.llm.neighbour_quality import score_quality
+from tidemark.llm.phrase_sketch import mine_phrases
 from tidemark.llm.set_sketch import near_duplicate_classes
 from tidemark.llm.spaced_seeds import find_passages
+from tidemark.llm.tiered_search import rank_documents
 from tidemark.llm.url_rules import Rule, judge_urls
 
 # The rules that op8 is asked for.
@@ -64,12 +66,24 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_phrase_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_snapshots, op2_neighbour_quality, op3_license_scan, op4_best_fit_packing, op5_line_crf, op6_line_dedup, op7_set_sketch, op8_url_rules, op9_language_mixture, op10_spaced_seeds)
-}
+    for f in (
+        op1_chat_snapshots, op2_neighbour_quality, op3_license_scan, op4_best_fit_packing, op5_line_crf, op6_line_dedup, op7_set_sketch, op8_url_rules, op9_language_mixture, op10_spaced_seeds,
+        op12_tiered_search, op13_phrase_sketch,
+    )
+}
 
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
@@ -124,5 +138,47 @@ found AS (
          row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(r.h || r.p) DESC NULLS LAST) AS k
   FROM parts LEFT JOIN rules r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM found WHERE k = 1
+""",
+    "op12_tiered_search": f"""
+WITH worded AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}') AS w FROM documents),
+sized AS (SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM worded WHERE len(w) > 0),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS t FROM benchmark),
+flat AS (SELECT r, doc_id, n, unnest(w) AS t FROM sized),
+tf AS (SELECT r, doc_id, n, t, count(*)::BIGINT AS tf FROM flat WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+df AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY t, big_n),
+scored AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM asked JOIN tf USING (t) JOIN df USING (t), corpus GROUP BY item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+""",
+    "op13_phrase_sketch": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM worded, (VALUES (1), (2), (3), (4)) ks(k) WHERE len(w) >= k),
+counted AS (SELECT lang, k, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+found AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1),
+cuts AS (
+  SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS lhs, array_to_string(w[c + 1:], ' ') AS rhs
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM found)),
+cut_scores AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.c, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.lhs JOIN counted y ON y.lang = c.lang AND y.phrase = c.rhs),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) AS nth FROM cut_scores),
+inner_ AS (
+  SELECT lang, a AS b, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM found))),
+longer AS (SELECT lang, phrase, max(b) AS b FROM inner_ GROUP BY ALL),
+kept AS (
+  SELECT x.lang, x.phrase, x.a, x.l, x.r, x.score FROM lowest x LEFT JOIN longer o ON o.lang = x.lang AND o.phrase = x.phrase
+  WHERE nth = 1 AND (o.b IS NULL OR 100::HUGEINT * o.b < 80::HUGEINT * x.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
