@@ -40,6 +40,11 @@ def ascii_lower(text: str) -> str:
     return text.translate(_LOWER)
 
 
+def lowered(text: str) -> str:
+    """As ascii_lower(), faster for long texts that aren't ASCII: lower() of bytes knows A-Z only."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 class WordHashes(dict):
     """Word to its 64-bit hash; bounded, because it forgets everything at CACHE_ENTRIES words."""
 

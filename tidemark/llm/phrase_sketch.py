@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import CACHE_ENTRIES, CHUNK_CHARS, ascii_lower, forget, materialize, mixed, texts_in, window_hashes
+from tidemark.llm._common import CACHE_ENTRIES, CHUNK_CHARS, forget, lowered, materialize, mixed, texts_in
 
 LEAST = 30
 MAX_WORDS = 4
@@ -38,6 +38,8 @@ DEPTH, WORD_BITS, MAX_BITS, PIECE_BITS = 2, 24, 26, 16
 WORDS_PER_CELL = 2
 #: Hashes that a task adds to its sketch at once; distinct phrases that it counts before it passes them on.
 BUFFERED, COUNTED = 2_000_000, 200_000
+#: Tokens that a task takes on at once; a part of a text may go beyond.
+RUN = 200_000
 
 _BREAK = ".,;:!?\x0a\x0b\x0c\x0d"
 _TOKEN = re.compile(r"[^\x20\x09.,;:!?\x0a-\x0d]+|[.,;:!?\x0a-\x0d]")
@@ -68,7 +70,7 @@ def parts_of(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
 
 def tokens_of(text: str) -> list[str]:
     """Words and, as tokens of their own, the characters that end a piece; A-Z lower-cased."""
-    return _TOKEN.findall(ascii_lower(text))
+    return _TOKEN.findall(lowered(text))
 
 
 @dataclass(frozen=True)
@@ -90,9 +92,13 @@ def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
     return ((hashes >> np.uint64(32 * row)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def phrase_hashes(hashes: np.ndarray, words: int, lang: int) -> np.ndarray:
-    """A hash for each place of a phrase of so many words of this language; places too near the end have none."""
-    return mixed(window_hashes(hashes, tuple(range(words))) ^ np.uint64(lang))
+def phrase_hashes(words: np.ndarray, marks: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, a hash for each place of a phrase of k words and its language's mark), k from 1; places too near the end have none."""
+    own = mixed(words ^ marks)
+    yield 1, own
+    for k in range(2, most + 1):
+        own = mixed(own[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[k - 1 :])
+        yield k, own
 
 
 def _whole(inside: np.ndarray, words: int) -> np.ndarray:
@@ -118,6 +124,13 @@ class Sketch:
         if self._n >= BUFFERED:
             self.flush()
 
+    def add_counts(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct hashes, each so many times."""
+        top = np.iinfo(self.cells.dtype).max
+        for row, own in enumerate(self.cells):
+            at, which = np.unique(cells_of(hashes, row, self.bits), return_inverse=True)
+            own[at] = np.minimum(own[at] + np.bincount(which, np.minimum(counts, top)).astype(np.int64), top)
+
     def flush(self) -> None:
         if self._n:
             hashes = np.concatenate(self._waiting)
@@ -136,33 +149,97 @@ class Sketch:
                 yield k, pack.compress(piece.tobytes())
 
 
-def _languages(batch: pa.RecordBatch) -> list[str]:
-    return batch.column(1).to_pylist()
+class _Run:
+    """Tokens of several texts in a row, a break behind each, with their languages."""
+
+    def __init__(self):
+        self.tokens: list[str] = []
+        self.langs: list[str] = []
+        self.ends: list[int] = []
+
+    def add(self, lang: str, part: str) -> None:
+        self.tokens += tokens_of(part)
+        self.tokens.append("\n")
+        self.langs.append(lang)
+        self.ends.append(len(self.tokens))
+
+    def by_token(self) -> tuple[list[str], np.ndarray]:
+        """The languages, and for each token the number of its own."""
+        names: dict[str, int] = {}
+        own = [names.setdefault(x, len(names)) for x in self.langs]
+        return list(names), np.repeat(own, np.diff([0, *self.ends]))
+
 
+def _mark(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
 
-def _sketched(bits: int, least: int, orders: tuple[int, ...], sent=None):
-    """Tasks that sketch the phrases of these numbers of words; with a sieve (sent) those whose words all pass it."""
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[_Run]:
+    """The texts of the batches (text, lang) in runs of some hundred thousand tokens."""
+    run = _Run()
+    for batch in batches:
+        langs = batch.column(1).to_pylist()
+        for at, texts in texts_in(batch):
+            for text, lang in zip(texts, langs[at : at + len(texts)], strict=True):
+                for part in parts_of(text or ""):
+                    run.add(lang, part)
+                    if len(run.tokens) >= RUN:
+                        yield run
+                        run = _Run()
+    if run.tokens:
+        yield run
+
+
+def _sketched_words(bits: int, least: int):
+    """Tasks that sketch words, and count all words by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sketch, words, sieve = _Hashes(), Sketch(bits, least), Counter(), sent.value if sent else None
-        for batch in batches:
-            langs = _languages(batch)
-            for at, texts in texts_in(batch):
-                for text, lang in zip(texts, langs[at : at + len(texts)], strict=True):
-                    mark = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-                    for part in parts_of(text or ""):
-                        tokens = tokens_of(part)
-                        h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                        inside = h != 0
-                        words[lang] += int(inside.sum())
-                        if sieve is not None:
-                            inside &= sieve.passes(phrase_hashes(h, 1, mark))
-                        for k in orders:
-                            sketch.add(phrase_hashes(h, k, mark)[_whole(inside, k)])
-        for k, cells in sketch.pieces():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells], pa.binary()), pa.array([None], pa.string()), pa.array([None], pa.int64())], names=["piece", "cells", "lang", "n"])
-        langs = list(words)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int32()), pa.nulls(len(langs), pa.binary()), pa.array(langs, pa.string()), pa.array([words[x] for x in langs], pa.int64())], names=["piece", "cells", "lang", "n"])
+        sketch, counts, total = Sketch(bits, least), {}, Counter()
+
+        def flush() -> None:
+            for lang, own in counts.items():
+                words = [w for w in own if w not in _BREAK]
+                h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) or 1 for w in words), np.uint64, len(words))
+                n = np.fromiter((own[w] for w in words), np.int64, len(words))
+                total[lang] += int(n.sum())
+                sketch.add_counts(mixed(h ^ np.uint64(_mark(lang))), n)
+            counts.clear()
+
+        for own in _runs(batches):
+            begin = 0
+            for lang, end in zip(own.langs, own.ends, strict=True):
+                counts.setdefault(lang, Counter()).update(own.tokens[begin:end])
+                begin = end
+            if sum(map(len, counts.values())) >= COUNTED:
+                flush()
+        flush()
+        yield from _pieces(sketch)
+        langs = list(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int32()), pa.nulls(len(langs), pa.binary()), pa.array(langs, pa.string()), pa.array([total[x] for x in langs], pa.int64())], names=["piece", "cells", "lang", "n"])
+
+    return run
+
+
+def _pieces(sketch: Sketch) -> Iterator[pa.RecordBatch]:
+    for k, cells in sketch.pieces():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([cells], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], names=["piece", "cells", "lang", "n"])
+
+
+def _sketched_phrases(bits: int, least: int, max_words: int, sent):
+    """Tasks that sketch the phrases of two words and more whose words all pass the sieve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sketch, sieve = _Hashes(), Sketch(bits, least), sent.value
+        for own in _runs(batches):
+            h = np.fromiter(map(known.__getitem__, own.tokens), np.uint64, len(own.tokens))
+            names, lang = own.by_token()
+            marks = np.array([_mark(x) for x in names], np.uint64)[lang]
+            for k, hashes in phrase_hashes(h, marks, max_words):
+                if k == 1:
+                    inside = (h != 0) & sieve.passes(hashes)
+                else:
+                    sketch.add(hashes[_whole(inside, k)])
+        yield from _pieces(sketch)
 
     return run
 
@@ -186,19 +263,20 @@ def _merged(least: int):
     return run
 
 
-def sift(docs: DataFrame, bits: int, least: int, orders: tuple[int, ...], sent=None) -> tuple[Sieve, dict[str, int]]:
-    """The sieve of these phrases of docs (text, lang), and the number of words by language.
+def sift(texts: DataFrame, bits: int, least: int, sketched) -> tuple[Sieve, dict[str, int]]:
+    """The sieve that the tasks' sketches make together, and the number of words by language.
 
-    The driver gets DEPTH x 2^bits bits at most and a number for each language, whatever the size of docs.
+    The driver gets DEPTH x 2^bits bits at most and a number for each language, whatever the size of texts.
     """
-    spark = docs.sparkSession
-    out = materialize(docs.mapInArrow(_sketched(bits, least, orders, sent), "piece int, cells binary, lang string, n long"), "sketch")
+    spark = texts.sparkSession
+    out = materialize(texts.mapInArrow(sketched, "piece int, cells binary, lang string, n long"), "sketch")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = out.where("piece IS NOT NULL").select("piece", "cells").repartition(tasks, "piece").mapInArrow(_merged(least), "piece int, full binary")
     wide = 1 << min(PIECE_BITS, bits)
     table = np.zeros((DEPTH << bits) // wide * (wide // 8), np.uint8).reshape(-1, wide // 8)
-    for row in pieces.toLocalIterator(prefetchPartitions=True):
-        table[row["piece"]] = np.frombuffer(row["full"], np.uint8)
+    for row in pieces.toArrow().to_batches():
+        for k, full in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
+            table[k] = np.frombuffer(full, np.uint8)
     words = {r["lang"]: r["n"] for r in out.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     forget(out)
     return Sieve(bits, table.reshape(DEPTH, -1)), words
@@ -217,29 +295,25 @@ def _counted(of_words, of_phrases, max_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = _Hashes(), {}
         words, phrases = of_words.value, of_phrases.value
-        for batch in batches:
-            langs = _languages(batch)
-            for at, texts in texts_in(batch):
-                for text, lang in zip(texts, langs[at : at + len(texts)], strict=True):
-                    mark = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-                    own = counts.setdefault(lang, [Counter() for _ in range(max_words + 1)])
-                    for part in parts_of(text or ""):
-                        tokens = tokens_of(part)
-                        h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
-                        inside = (h != 0) & words.passes(phrase_hashes(h, 1, mark))
-                        own[1].update([tokens[i] for i in np.flatnonzero(inside).tolist()])
-                        before = inside
-                        for k in range(2, max_words + 1):
-                            # A phrase can be frequent only if both phrases of one word less in it are.
-                            at_k = np.flatnonzero(_whole(before, 2))
-                            at_k = at_k[phrases.passes(phrase_hashes(h, k, mark)[at_k])]
-                            if not len(at_k):
-                                break
-                            own[k].update([" ".join(tokens[i : i + k]) for i in at_k.tolist()])
-                            before = np.zeros(len(h) - k + 1, bool)
-                            before[at_k] = True
-                    if sum(len(c) for x in counts.values() for c in x) >= COUNTED:
-                        yield from rows(counts)
+        for own in _runs(batches):
+            tokens = own.tokens
+            h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+            names, lang = own.by_token()
+            marks = np.array([_mark(x) for x in names], np.uint64)[lang]
+            for k, hashes in phrase_hashes(h, marks, max_words):
+                # A phrase can be frequent only if both phrases of one word less in it are.
+                at = np.flatnonzero((h != 0) & words.passes(hashes)) if k == 1 else np.flatnonzero(_whole(inside, 2))
+                if k > 1:
+                    at = at[phrases.passes(hashes[at])]
+                inside = np.zeros(len(hashes), bool)
+                inside[at] = True
+                of = lang[at]
+                for x, name in enumerate(names):
+                    found = counts.setdefault(name, [Counter() for _ in range(max_words + 1)])[k]
+                    mine = at[of == x].tolist()
+                    found.update([tokens[i] for i in mine] if k == 1 else [" ".join(tokens[i : i + k]) for i in mine])
+            if sum(len(c) for x in counts.values() for c in x) >= COUNTED:
+                yield from rows(counts)
         yield from rows(counts)
 
     return run
@@ -250,10 +324,10 @@ def count_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     number of all words by language."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    of_words, total = sift(texts, word_bits, least, (1,))
+    of_words, total = sift(texts, word_bits, least, _sketched_words(word_bits, least))
     first = spark.sparkContext.broadcast(of_words)
     bits = min(max_bits, max(PIECE_BITS, (sum(total.values()) // WORDS_PER_CELL).bit_length()))
-    of_phrases, _ = sift(texts, bits, least, tuple(range(2, max_words + 1)), first)
+    of_phrases, _ = sift(texts, bits, least, _sketched_phrases(bits, least, max_words, first))
     second = spark.sparkContext.broadcast(of_phrases)
     counts = texts.mapInArrow(_counted(first, second, max_words), "lang string, words int, phrase string, n long")
     return materialize(counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases"), total

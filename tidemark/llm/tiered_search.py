@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import CHUNK_CHARS, ascii_lower, documents_of, forget, materialize, texts_in
+from tidemark.llm._common import CHUNK_CHARS, documents_of, forget, lowered, materialize, texts_in
 
 TOP = 50
 TIERS = 3
@@ -42,7 +42,7 @@ _GAP = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def terms_of(text: str | None) -> list[str]:
-    return _TERM.findall(ascii_lower(text)) if text else []
+    return _TERM.findall(lowered(text)) if text else []
 
 
 def _parts(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
