@@ -338,6 +338,11 @@ def _exact(column):
     return column.cast("decimal(19,0)")
 
 
+def score_of():
+    """Column: floor(SCALE * a / (l + r)), exact."""
+    return F.expr(f"CAST({SCALE} * CAST(a AS decimal(19,0)) AS decimal(38,0)) div (CAST(l AS decimal(19,0)) + CAST(r AS decimal(19,0)))")
+
+
 def mine_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS, subsumed: int = SUBSUMED, most: int = MOST, text_col: str = "text", lang_col: str = "lang", max_bits: int = MAX_BITS) -> DataFrame:
     """The ``most`` best phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
@@ -353,7 +358,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORDS
     cuts = found.select("*", F.split("phrase", " ").alias("w"), F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", F.array_join(F.slice("w", F.lit(1), F.col("cut")), " ").alias("left"), F.array_join(F.slice("w", F.col("cut") + 1, F.col("words") - F.col("cut")), " ").alias("right"))
     cuts = cuts.join(counts.select("lang", F.col("phrase").alias("left"), F.col("n").alias("l")), ["lang", "left"]).join(counts.select("lang", F.col("phrase").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-    score = F.expr(f"CAST({SCALE} * CAST(a AS decimal(19,0)) AS decimal(38,0)) div (CAST(l AS decimal(19,0)) + CAST(r AS decimal(19,0)))")
+    score = score_of()
     scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "cut", "l", "r")).alias("x"))
     longer = found.where("words > 2").select("lang", F.col("a").alias("b"), "words", F.split("phrase", " ").alias("w"))
     longer = longer.select("lang", "b", "words", "w", F.explode(F.sequence(F.lit(2), F.col("words") - 1)).alias("size"))

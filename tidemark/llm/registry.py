@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.best_fit_packing import pack_documents
 from tidemark.llm.chat_snapshots import maximal_conversations
 from tidemark.llm.language_mixture import identify_languages
+from tidemark.llm.lexicon_automata import score_toxicity
 from tidemark.llm.license_scan import scan_licenses
 from tidemark.llm.line_crf import fit_lines, rule_quality
 from tidemark.llm.line_runs import dedup_lines
@@ -66,6 +67,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexicon_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_tiered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -78,7 +83,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_snapshots, op2_neighbour_quality, op3_license_scan, op4_best_fit_packing, op5_line_crf, op6_line_dedup, op7_set_sketch, op8_url_rules, op9_language_mixture, op10_spaced_seeds,
-        op12_tiered_search, op13_phrase_sketch,
+        op11_lexicon_automata, op12_tiered_search, op13_phrase_sketch,
     )
 }
 
