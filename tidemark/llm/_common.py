@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,63 @@ def forget(*tables: DataFrame) -> None:
         drop_folder(df.sparkSession, df._tidemark_folder)
 
 
+#: Bits, as a power of two, of a table that tells which ids may be in a set, and of its pieces.
+ID_BITS, ID_PIECE_BITS = 27, 16
+
+
+def _id_slots(ids: np.ndarray) -> np.ndarray:
+    """Two slots for each id."""
+    h = mixed(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([h >> np.uint64(64 - ID_BITS), h & np.uint64((1 << ID_BITS) - 1)])
+
+
+def _id_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces: dict[int, np.ndarray] = {}
+    for batch in batches:
+        slots = np.unique(_id_slots(batch.column(0).to_numpy()))
+        for k in np.unique(slots >> np.uint64(ID_PIECE_BITS)).tolist():
+            own = slots[slots >> np.uint64(ID_PIECE_BITS) == k] & np.uint64((1 << ID_PIECE_BITS) - 1)
+            if k not in pieces:
+                pieces[k] = np.zeros(1 << ID_PIECE_BITS, bool)
+            pieces[k][own.astype(np.int64)] = True
+    for k, own in pieces.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+
+
+def _id_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pieces: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(bits), np.uint8)
+            pieces[k] = own if k not in pieces else pieces[k] | own
+    for k, own in pieces.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+
+
+def maybe_among(ids: DataFrame):
+    """A function of a long column that tells whether the id may be among ids (one long column): never false for one that is, null for null.
+
+    Behind it is a table of 2^ID_BITS bits, of fixed size whatever the number of ids: it keeps rows out of a shuffle that
+    decides exactly, and lets more of them through the more ids there are.
+    """
+    spark = ids.sparkSession
+    pieces = ids.toDF("id").where("id IS NOT NULL").mapInArrow(_id_pieces, "piece int, bits binary")
+    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "piece").mapInArrow(_id_union, "piece int, bits binary")
+    table = np.zeros((1 << (ID_BITS - ID_PIECE_BITS), 1 << (ID_PIECE_BITS - 3)), np.uint8)
+    for batch in pieces.toArrow().to_batches():
+        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            table[k] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    sent = spark.sparkContext.broadcast(table.ravel())
+
+    @F.arrow_udf("boolean")
+    def among(own: pa.Array) -> pa.Array:
+        slots = _id_slots(own.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
+        found = sent.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
+        return pa.array(found.all(0), pa.bool_(), mask=np.asarray(own.is_null()))
+
+    return among
+
+
 def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     """At most this many rows, the same ones in every run: those whose ids hash lowest (a distributed top-k)."""
     return df.orderBy(F.xxhash64(F.col(id_col), F.lit(17)), F.col(id_col)).limit(most)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tidemark.llm._common import BLANKS, ascii_lower, drop_folder, new_folder
+from tidemark.llm._common import BLANKS, ascii_lower, drop_folder, materialize, maybe_among, new_folder
 
 MIN_CHARS = 10
 BATCHES = 4
@@ -193,6 +193,27 @@ class LineRuns:
                 drop_folder(self.spark, f"{self.folder}/state/{status.getPath().getName()}")
 
 
+def _lost(min_chars: int):
+    schema = pa.schema([("_doc", pa.int64()), ("_hash", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, hashes = [], []
+            for doc, before, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = {h for line in (before or "").split("\n") if (h := line_hash(line, min_chars)) is not None}
+                own -= {line_hash(line, min_chars) for line in (after or "").split("\n")}
+                docs += [doc] * len(own)
+                hashes += own
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hashes, pa.binary())], schema=schema)
+
+    return run
+
+
+def lost_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(_doc, _hash) of the eligible lines that the text before has and the one after hasn't; texts: (doc_id, before, after)."""
+    return texts.select(F.col("doc_id").cast("long"), "before", "after").mapInArrow(_lost(min_chars), "_doc long, _hash binary")
+
+
 def _rewritten(min_chars: int):
     schema = pa.schema([("_n_lines", pa.int64()), ("_n_dropped", pa.int64()), ("_kept", pa.string())])
 
@@ -243,9 +264,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     for i in range(len(cuts) + 1):
         more = runs.add(lines.where(F.col("_batch") == i).select("_doc", "_hash"))
         drops = more if drops is None else drops.unionAll(more)
-    drops = drops.groupBy("_doc").agg(F.collect_set("_hash").alias("_drops"))
+    drops = materialize(drops.groupBy("_doc").agg(F.collect_set("_hash").alias("_drops")), "drops")
     rows = docs.select(own.alias("_id"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []))
-    joined = rows.join(drops, rows["_id"] == drops["_doc"], "left").select(F.col("_id").alias("doc_id"), *(["_row"] if carry else []), "_text", "_drops")
+    # Only documents that may lose a line move to where their drops are.
+    among = maybe_among(drops.select("_doc"))
+    names = [F.col("_id").alias("doc_id"), *(["_row"] if carry else []), "_text"]
+    moved = rows.where(among("_id"))
+    joined = moved.join(drops, moved["_id"] == drops["_doc"], "left").select(*names, "_drops")
+    joined = joined.unionAll(rows.where(~F.coalesce(among("_id"), F.lit(False))).select(*names, F.lit(None).cast("array<binary>").alias("_drops")))
     fields = [joined.schema[c] for c in (["doc_id", "_row"] if carry else ["doc_id"])]
     schema = StructType([*fields, StructField("_n_lines", LongType()), StructField("_n_dropped", LongType()), StructField("_kept", StringType())])
     return joined.mapInArrow(_rewritten(min_chars), schema)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import CACHE_ENTRIES, CHUNK_CHARS, forget, lowered, materialize, mixed, texts_in
+from tidemark.llm._common import CACHE_ENTRIES, CHUNK_CHARS, lowered, materialize, mixed, texts_in
 
 LEAST = 30
 MAX_WORDS = 4
@@ -35,9 +35,9 @@ UNKNOWN = "und"
 #: Rows of a sketch; cells of a row as powers of two: of the sketch of words, and at most of that of phrases. Piece: what is merged at once.
 DEPTH, WORD_BITS, MAX_BITS, PIECE_BITS = 2, 24, 26, 16
 #: Words for each cell of a row of the phrases' sketch, as long as MAX_BITS allows it.
-WORDS_PER_CELL = 2
+WORDS_PER_CELL = 6
 #: Hashes that a task adds to its sketch at once; distinct phrases that it counts before it passes them on.
-BUFFERED, COUNTED = 2_000_000, 200_000
+BUFFERED, COUNTED = 2_000_000, 750_000
 #: Tokens that a task takes on at once; a part of a text may go beyond.
 RUN = 200_000
 
@@ -143,10 +143,23 @@ class Sketch:
     def pieces(self) -> Iterator[tuple[int, bytes]]:
         """(number, cells) of the pieces that aren't empty."""
         self.flush()
-        pack = zstandard.ZstdCompressor(level=1)
         for k, piece in enumerate(self.cells.reshape(-1, 1 << min(PIECE_BITS, self.bits))):
-            if piece.any():
-                yield k, pack.compress(piece.tobytes())
+            at = np.flatnonzero(piece)
+            if len(at):
+                yield k, packed(at, piece[at])
+
+
+def packed(at: np.ndarray, values: np.ndarray) -> bytes:
+    """Ascending places below 2^16 and their values: bytes of equal meaning stand together, so they compress."""
+    gaps = np.diff(at, prepend=0).astype("<u2")
+    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 2).T.tobytes() + values.tobytes())
+
+
+def unpacked(data: bytes, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = len(raw) // (2 + np.dtype(kind).itemsize)
+    gaps = np.frombuffer(raw, np.uint8, 2 * n).reshape(2, n).T.copy().view("<u2").ravel()
+    return gaps.astype(np.int64).cumsum(), np.frombuffer(raw, kind, n, 2 * n)
 
 
 class _Run:
@@ -214,8 +227,7 @@ def _sketched_words(bits: int, least: int):
                 flush()
         flush()
         yield from _pieces(sketch)
-        langs = list(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int32()), pa.nulls(len(langs), pa.binary()), pa.array(langs, pa.string()), pa.array([total[x] for x in langs], pa.int64())], names=["piece", "cells", "lang", "n"])
+        yield _words(total)
 
     return run
 
@@ -245,41 +257,51 @@ def _sketched_phrases(bits: int, least: int, max_words: int, sent):
 
 
 def _merged(least: int):
-    """Adds up the pieces of one number as they come; a task holds one piece of each of its numbers."""
+    """Adds up the pieces of one number as they come, and the words of one language; a task holds one piece of each of its numbers."""
     kind = np.uint8 if least < 256 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor()
+        words: Counter[str] = Counter()
         for batch in batches:
-            for k, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = np.frombuffer(unpack.decompress(cells), kind)
-                had = sums.get(k)
-                sums[k] = more if had is None else np.minimum(had.astype(np.int64) + more, np.iinfo(kind).max).astype(kind)
+            for k, cells, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k is None:
+                    words[lang] += n
+                    continue
+                at, more = unpacked(cells, kind)
+                own = sums.setdefault(k, np.zeros(1 << PIECE_BITS, kind))
+                own[at] = np.minimum(own[at].astype(np.int64) + more, np.iinfo(kind).max)
         for k, cells in sums.items():
             if (full := cells >= least).any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(full).tobytes()], pa.binary())], names=["piece", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(np.packbits(full).tobytes())], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], names=["piece", "cells", "lang", "n"])
+        yield _words(words)
 
     return run
 
 
+def _words(words: Counter) -> pa.RecordBatch:
+    langs = list(words)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(langs), pa.int32()), pa.nulls(len(langs), pa.binary()), pa.array(langs, pa.string()), pa.array([words[x] for x in langs], pa.int64())], names=["piece", "cells", "lang", "n"])
+
+
 def sift(texts: DataFrame, bits: int, least: int, sketched) -> tuple[Sieve, dict[str, int]]:
     """The sieve that the tasks' sketches make together, and the number of words by language.
 
     The driver gets DEPTH x 2^bits bits at most and a number for each language, whatever the size of texts.
     """
-    spark = texts.sparkSession
-    out = materialize(texts.mapInArrow(sketched, "piece int, cells binary, lang string, n long"), "sketch")
+    spark, schema = texts.sparkSession, "piece int, cells binary, lang string, n long"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = out.where("piece IS NOT NULL").select("piece", "cells").repartition(tasks, "piece").mapInArrow(_merged(least), "piece int, full binary")
+    merged = texts.mapInArrow(sketched, schema).repartition(tasks, F.xxhash64("piece", "lang")).mapInArrow(_merged(least), schema)
     wide = 1 << min(PIECE_BITS, bits)
     table = np.zeros((DEPTH << bits) // wide * (wide // 8), np.uint8).reshape(-1, wide // 8)
-    for row in pieces.toArrow().to_batches():
-        for k, full in zip(row.column(0).to_pylist(), row.column(1).to_pylist(), strict=True):
-            table[k] = np.frombuffer(full, np.uint8)
-    words = {r["lang"]: r["n"] for r in out.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    forget(out)
-    return Sieve(bits, table.reshape(DEPTH, -1)), words
+    words: Counter[str] = Counter()
+    for batch in merged.toArrow().to_batches():
+        for k, full, lang, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k is None:
+                words[lang] += n
+            else:
+                table[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(full), np.uint8)[: wide // 8]
+    return Sieve(bits, table.reshape(DEPTH, -1)), dict(words)
 
 
 def _counted(of_words, of_phrases, max_words: int):

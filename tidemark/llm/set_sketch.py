@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import WordHashes, ascii_lower, documents_of, forget, materialize, mixed, texts_in, window_hashes, words_of
+from tidemark.llm._common import WordHashes, ascii_lower, documents_of, forget, materialize, maybe_among, mixed, texts_in, window_hashes, words_of
 
 SHINGLE = 5
 BANDS, ROWS = 26, 5
@@ -400,7 +400,10 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
         .mapInArrow(_likely(threshold, m), "a long, b long")
     )
     likely = materialize(likely, "likely")
-    texts = materialize(buckets.select("node").distinct().join(plain.withColumnRenamed("doc_id", "node"), "node"), "texts")
+    # Only texts that may be a node's move.
+    sharing = buckets.select("node").distinct()
+    among = maybe_among(sharing)
+    texts = materialize(sharing.join(plain.where(among("doc_id")).withColumnRenamed("doc_id", "node"), "node"), "texts")
     labels = components(_confirm(likely, texts, percent, size))
     more = materialize(_between_components(buckets, labels, sketches, texts, percent, bands, rows, size), "more")
     if more.limit(1).count():
