@@ -328,17 +328,17 @@ def _tf(phrase: list[str]) -> str:
 
 @query(f"WITH {_WORDS} SELECT duid, CAST({_tf(['thing'])} AS BIGINT) AS tf FROM words WHERE {_tf(['thing'])} > 0")
 def fts_match_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matched(views.notices(spark, sf_dir), "Thing").select("duid", F.col("_tf")[0].cast("long").alias("tf"))
+    return views.block_index(spark, sf_dir).hits("Thing").select("duid", F.col("_tf")[0].cast("long").alias("tf"))
 
 
 @query(f"WITH {_WORDS} SELECT duid, CAST({_tf(['of', 'the'])} AS BIGINT) AS tf FROM words WHERE {_tf(['of', 'the'])} > 0")
 def fts_match_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.matched(views.notices(spark, sf_dir), "of-THE").select("duid", F.col("_tf")[0].cast("long").alias("tf"))
+    return views.block_index(spark, sf_dir).hits("of-THE").select("duid", F.col("_tf")[0].cast("long").alias("tf"))
 
 
 @query(f"WITH {_WORDS} SELECT count(*) AS n FROM words WHERE {_tf(['of', 'the'])} > 0 AND {_tf(['src1'])} > 0 AND posted_date >= DATE '2024-01-10'")
 def fts_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_count(views.notices(spark, sf_dir), "of-the src1", feed.Filters(updated_from=date(2024, 2, 20), posted_from=date(2024, 1, 10)))
+    return views.block_index(spark, sf_dir).count("of-the src1", feed.Filters(updated_from=date(2024, 2, 20), posted_from=date(2024, 1, 10)))
 
 
 _BM25 = (
@@ -354,7 +354,18 @@ _BM25 = (
     " SELECT duid, round(score, 9) AS score FROM scored ORDER BY scored.score, updated_date DESC, duid DESC LIMIT 50"
 )
 def fts_bm25_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_page(views.notices(spark, sf_dir), "thing of-the", limit=50).select("duid", F.round("score", 9).alias("score"))
+    return views.block_index(spark, sf_dir).top("thing of-the", limit=50).select("duid", F.round("score", 9).alias("score"))
+
+
+@query(
+    f"WITH {_WORDS}, counted AS (SELECT duid, updated_date, CAST(list_sum(list_transform(w, lambda c: len(c))) AS DOUBLE) AS size, CAST({_tf(['thing'])} AS DOUBLE) AS t0 FROM words),"
+    f" corpus AS (SELECT *, {_BM25[0].format(0)} FROM (SELECT count(*) AS n, avg(size) AS mean, count(*) FILTER (WHERE t0 > 0) AS df0 FROM counted)),"
+    f" scored AS (SELECT duid, updated_date, -({_BM25[1].format(0)}) AS score FROM counted, corpus WHERE t0 > 0)"
+    " SELECT duid, round(score, 9) AS score FROM scored ORDER BY scored.score, updated_date DESC, duid DESC LIMIT 10"
+)
+def fts_top_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a single word: blocks that can't reach its tenth score aren't scored."""
+    return views.block_index(spark, sf_dir).top("thing", limit=10).select("duid", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH {_WORDS} SELECT t AS term, count(*) AS n FROM (SELECT unnest(flatten(w)) AS t FROM words) GROUP BY t")

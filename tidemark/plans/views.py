@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_hash
 from tidemark.functions.urls import DETAIL_QUERY, BoardSite
+from tidemark.operators.block_index import BlockIndex
 from tidemark.operators.schema import CATEGORIES, NOTICES, RUNS
+from tidemark.sources.shared import new_folder
 
 NOW = datetime(2024, 3, 1, tzinfo=UTC)
 
@@ -47,6 +49,24 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*NOTICES.fieldNames())
 
 
+_INDEXES: dict[tuple, BlockIndex] = {}
+
+
+def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The search index of notices(), built from the documents when a session first asks for it, and anew when they changed.
+
+    Texts are dealt anew before they are tokenised: a small table is often a single row group.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    state = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, state.getModificationTime(), state.getLen())
+    if key not in _INDEXES:
+        index = BlockIndex(spark, new_folder(spark, "index"))
+        index.add(notices(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def hashed(rows: DataFrame) -> DataFrame:
     own = ("duid", "category_id", "category_name", "title", "posted_date", "updated_date", "department", "source_url", "body", "attachments_present")
     return rows.withColumn("content_hash", content_hash(*[F.col(c) for c in own]))
