@@ -72,10 +72,11 @@ def near_by_hand(was, now):
     members = {}
     for n, c in found.items():
         members.setdefault(c, ([], []))[n % 2].append(n // 2)
-    copies = {i for whole, _ in members.values() for i in whole if i > min(whole)}
+    second = {i for whole, _ in members.values() for i in whole if i > min(whole)}
+    copies = set(second)
     for whole, rest in members.values():
-        able = [i for i in rest if i not in copies] + ([min(whole)] if whole else [])
-        copies = copies | {i for i in able if i > min(able)} if able else copies
+        able = [i for i in rest if i not in second] + ([min(whole)] if whole else [])
+        copies |= {i for i in able if i > min(able)}
     left = {}
     for i, t in now:
         left.setdefault(i, set()).update(keys([(i, t)]))
