@@ -36,6 +36,8 @@ UNKNOWN = "und"
 DEPTH, WORD_BITS, MAX_BITS, PIECE_BITS = 2, 24, 26, 16
 #: Words for each cell of a row of the phrases' sketch, as long as MAX_BITS allows it.
 WORDS_PER_CELL = 6
+#: Words of a task that sketches or counts phrases, where there are enough for all cores: each task has a sketch and each frequent phrase once.
+WORDS_PER_TASK = 16_000_000
 #: Hashes that a task adds to its sketch at once; distinct phrases that it counts before it passes them on.
 BUFFERED, COUNTED = 2_000_000, 750_000
 #: Tokens that a task takes on at once; a part of a text may go beyond.
@@ -349,6 +351,7 @@ def count_phrases(docs: DataFrame, least: int = LEAST, max_words: int = MAX_WORD
     of_words, total = sift(texts, word_bits, least, _sketched_words(word_bits, least))
     first = spark.sparkContext.broadcast(of_words)
     bits = min(max_bits, max(PIECE_BITS, (sum(total.values()) // WORDS_PER_CELL).bit_length()))
+    texts = texts.coalesce(max(spark.sparkContext.defaultParallelism, -(-sum(total.values()) // WORDS_PER_TASK)))
     of_phrases, _ = sift(texts, bits, least, _sketched_phrases(bits, least, max_words, first))
     second = spark.sparkContext.broadcast(of_phrases)
     counts = texts.mapInArrow(_counted(first, second, max_words), "lang string, words int, phrase string, n long")
