@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tidemark.plans import timeline  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
