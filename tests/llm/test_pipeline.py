@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import registry
-from tidemark.llm._common import BLANKS, materialize
+from tidemark.llm._common import BLANKS, ascii_lower, materialize, words_of
 from tidemark.llm.language_mixture import fit_languages
 
 from .test_line_runs import brute as brute_lines
@@ -44,7 +44,7 @@ def test_every_stage_equals_its_plain_form(spark, sf_dir, tmp_path):
     assert two.where("n_chars <> length(text)").count() == 0
 
     three = materialize(corpus_pipeline.near_copy_stage(spark, two, str(tmp_path)), "three")
-    assert rows(three) == near_by_hand(before, rows(two))
+    assert rows(three) == near_by_hand(rows(docs), rows(two))
 
     four = materialize(corpus_pipeline.benchmark_stage(spark, three, sf_dir), "four")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -62,29 +62,23 @@ def keys(found):
 
 
 def near_by_hand(was, now):
-    """The near-copy stage on rows (doc_id, text): as they were before lines went, and as they are."""
-    ids = {i for i, _ in now}
-    changed = [(i, t) for i, t in was if i in ids and i is not None and (i, t) not in now]
-    gone_rest = {i for i, _ in changed}
-    nodes = [(2 * i + (i in gone_rest), t) for i, t in now if i is not None] + [(2 * i, t) for i, t in changed]
-    found = brute_copies(nodes, corpus_pipeline.NEAR_PERCENT)
-    classes = {n // 2: c for n, c in found.items() if n % 2 == 0}
-    members = {}
-    for n, c in found.items():
-        members.setdefault(c, ([], []))[n % 2].append(n // 2)
-    second = {i for whole, _ in members.values() for i in whole if i > min(whole)}
-    copies = set(second)
-    for whole, rest in members.values():
-        able = [i for i in rest if i not in second] + ([min(whole)] if whole else [])
-        copies |= {i for i in able if i > min(able)}
-    left = {}
+    """The near-copy stage on rows (doc_id, text): all as they were before lines went, and those left as they are."""
+    ids = {i for i, _ in now if i is not None}
+    classes = brute_copies(was, corpus_pipeline.NEAR_PERCENT)
+    first = {}
+    for i in sorted(ids):
+        first.setdefault(classes[i], i)
+    copies = {i for i in ids if first[classes[i]] != i}
+    same = {}
     for i, t in now:
-        left.setdefault(i, set()).update(keys([(i, t)]))
-    lost = {}
-    for i, t in changed:
-        for k in keys([(i, t)]) - left[i]:
-            lost.setdefault(k, set()).add(classes[i])
-    needed = {i for i, own in left.items() if any(lost.get(k, set()) - {classes.get(i)} for k in own)}
+        if i is not None and i not in copies and (w := words_of(ascii_lower(t or ""))):
+            same.setdefault(tuple(w), set()).add(i)
+    copies |= {i for own in same.values() for i in own if i != min(own)}
+    holders = {}
+    for i, t in was:
+        for k in keys([(i, t)]) if i in ids else ():
+            holders.setdefault(k, set()).add(classes[i])
+    needed = {i for i, t in now if any(holders.get(k, set()) - {classes.get(i)} for k in keys([(i, t)]))}
     return [(i, t) for i, t in now if i is None or i not in copies or i in needed]
 
 
