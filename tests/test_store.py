@@ -71,8 +71,8 @@ def test_tombstones(spark, store):
 def test_bodies_have_a_bounded_life_and_the_hash_stays(spark, store):
     store.save_details(rows(spark, ("1", "One", "target"), ("2", "Two", "other")), T0)
     old = store.get("1")["content_hash"]
-    assert store.sweep_bodies(T0 + 30 * DAY - timedelta(seconds=1)) == []
-    assert sorted(store.sweep_bodies(T0 + 30 * DAY)) == ["1", "2"]
+    assert store.sweep_bodies(T0 + 30 * DAY - timedelta(seconds=1)).count() == 0
+    assert sorted(r["duid"] for r in store.sweep_bodies(T0 + 30 * DAY).collect()) == ["1", "2"]
     assert store.get("1")["body"] is None and store.get("1")["content_hash"] == old
     store.save_metadata(rows(spark, ("1", "One")), T0 + 31 * DAY)
     assert store.revision_count("1") == 1
@@ -188,6 +188,85 @@ def test_numbers_follow_seq_whatever_its_values(spark):
     assert [r["revision_id"] for r in merge.numbered_revisions(frame, 7, block=20).orderBy("revision_id").collect()] == list(range(8, 310))
 
 
+def test_a_batch_of_one_seq_is_numbered_in_blocks(spark):
+    given = [(1, k % 2, str(k)) for k in range(300)]
+    frame = spark.createDataFrame(given, "seq long, sub long, duid string")
+    for c in stores.TABLES["notice_revisions"]:
+        if c.name not in ("duid", "revision_id"):
+            frame = frame.withColumn(c.name, F.lit(None).cast(c.dataType))
+    got = [(r["revision_id"], r["duid"]) for r in merge.numbered_revisions(frame, 0, block=20).orderBy("revision_id").collect()]
+    assert got == [(i + 1, d) for i, (_, _, d) in enumerate(sorted(given))]
+
+
+def _names(store, folder):
+    return {f"{folder}/{n}" for n in store._files.names(folder)}
+
+
+@pytest.mark.parametrize("when", ["before the manifest", "after the first folder"])
+def test_vacuum_spares_what_a_writer_is_about_to_publish(spark, store, monkeypatch, when):
+    store.save_metadata(rows(spark, ("1", "One")), T0)
+    store.save_metadata(rows(spark, ("1", "Uno")), T0)
+    other = open_store(spark, store.root)
+    done = []
+
+    def vacuum_once():
+        if not done:
+            done.append(1)
+            other.vacuum(keep=1)
+
+    if when == "before the manifest":
+        create = store._files.create
+        monkeypatch.setattr(store._files, "create", lambda *a: (vacuum_once(), create(*a))[1])
+    else:
+        write = store._write
+        monkeypatch.setattr(store, "_write", lambda *a: (write(*a), vacuum_once())[0])
+    store.save_details(rows(spark, ("2", "Two", "b")), T0)
+    assert done and {r["duid"]: r["title"] for r in open_read_only(spark, store.root).notices().collect()} == {"1": "Uno", "2": "Two"}
+    assert store.search_count("two").first()["n"] == 1 and _names(store, "intents") == set()
+
+
+def test_vacuum_deletes_after_the_writer_is_done_or_dead(spark, store, monkeypatch):
+    store.save_metadata(rows(spark, ("1", "One")), T0)
+    dead = open_store(spark, store.root)
+    dead._token = "dead"
+    dead._files.put("intents/dead")
+    left = dead._write(dead.notices(), "notices")
+    store.vacuum(keep=1)
+    assert left in _names(store, "data/notices")
+    monkeypatch.setattr(stores, "INTENT_SECONDS", -1)
+    store.vacuum(keep=1)
+    assert left in _names(store, "data/notices") and _names(store, "intents") == set()
+    with pytest.raises(StorageUnavailableError):
+        dead._published(lambda: {"notices": dead._manifest["notices"]})
+    store.vacuum(keep=1)
+    assert left not in _names(store, "data/notices") and open_read_only(spark, store.root).notices().count() == 1
+
+
+def test_vacuum_keeps_held_versions(spark, store):
+    store.save_metadata(rows(spark, ("1", "One")), T0)
+    reader = open_store(spark, store.root)
+    with reader.hold():
+        for k in range(5):
+            store.save_metadata(rows(spark, ("1", f"v{k}")), T0)
+        store.vacuum(keep=1)
+        assert reader.get("1")["title"] == "One"
+    store.vacuum(keep=1)
+    assert len(stores._numbers(store._files)) == 1
+
+
+def test_ledger_steps_are_appended_and_folded(spark, store, monkeypatch):
+    monkeypatch.setattr(stores, "LEDGER_STEPS", 4)
+    for k in range(3):
+        store.start_run(f"r{k}", T0 + k * DAY)
+        store.update_run(f"r{k}", T0 + k * DAY, pages_seen=k)
+        store.finish_run(f"r{k}", "success", T0 + k * DAY)
+    assert len(store._manifest["crawl_runs"]) <= 4
+    assert sorted((r["run_id"], r["status"], r["pages_seen"]) for r in store.runs().collect()) == [(f"r{k}", "success", k) for k in range(3)]
+    store.start_run("last", T0 + 9 * DAY)
+    step = spark.read.parquet(f"{store.root}/{store._manifest['crawl_runs'][-1]}")
+    assert step.count() == 1 and open_read_only(spark, store.root).get_run("r1")["pages_seen"] == 1
+
+
 def test_versions_conflicts_and_read_only(spark, store):
     store.save_metadata(rows(spark, ("1", "One")), T0)
     reader = open_read_only(spark, store.root)

@@ -20,11 +20,13 @@ SUMMARY, METADATA, DETAIL = "summary", "metadata", "detail"
 MODES = (SUMMARY, METADATA, DETAIL)
 #: Revisions that one task numbers, and most tasks for it.
 ID_BLOCK, MAX_BLOCKS = 100_000, 1_000
+#: Rows out of which the cuts between them are taken.
+CUT_ROWS = 20_000
 _GIVEN = ("duid", "category_id", "category_name", "title", "posted_date", "updated_date", "department", "source_url")
 
 
 def cleaned(incoming: DataFrame, mode: str) -> DataFrame:
-    """The incoming rows that have a duid, cleaned: seq, the fields of a notice that a row brings, body and content_hash.
+    """The incoming rows that have a duid, cleaned: seq and sub, which order them (sub is 0 where the input has none), the fields of a notice that a row brings, body and content_hash.
 
     List rows that keep a stored body (SUMMARY) have neither body nor hash yet.
     """
@@ -35,6 +37,7 @@ def cleaned(incoming: DataFrame, mode: str) -> DataFrame:
         body = clean_body(F.coalesce(F.col("body"), F.lit("")) if "body" in incoming.columns else F.lit(""))
     rows = incoming.where("duid IS NOT NULL").select(
         F.col("seq").cast("long").alias("seq"),
+        (F.col("sub").cast("long") if "sub" in incoming.columns else F.lit(0).cast("long")).alias("sub"),
         "duid",
         "category_id",
         clean_category(F.col("category_name")).alias("category_name"),
@@ -56,7 +59,7 @@ def _hash(body: Column) -> Column:
 
 
 def changed(clean: DataFrame, current: DataFrame, collected_at: datetime, mode: str) -> DataFrame:
-    """Rows of cleaned() as notices, in the order of a key's rows by seq: with seq, _before (the hash that a row
+    """Rows of cleaned() as notices, in the order of a key's rows by seq and sub: with both, _before (the hash that a row
     replaces, null for the first row of an unknown key) and _last (whether it is its key's last).
 
     current needs to hold no more than the keys of the batch. Rows of a key with equal seq are ordered by their values.
@@ -78,21 +81,22 @@ def changed(clean: DataFrame, current: DataFrame, collected_at: datetime, mode:
         }
     )
     tie = F.xxhash64(*(c for c in NOTICES.fieldNames() if c != "duid"))
-    order = Window.partitionBy("duid").orderBy("seq", tie)
-    return rows.select("seq", *NOTICES.fieldNames(), F.coalesce(F.lag("content_hash").over(order), F.col("o_content_hash")).alias("_before"), F.lead("duid").over(order).isNull().alias("_last"))
+    order = Window.partitionBy("duid").orderBy("seq", "sub", tie)
+    return rows.select("seq", "sub", *NOTICES.fieldNames(), F.coalesce(F.lag("content_hash").over(order), F.col("o_content_hash")).alias("_before"), F.lead("duid").over(order).isNull().alias("_last"))
 
 
 def revised(rows: DataFrame) -> DataFrame:
     """Of rows of changed() those that differ from what they replace, as revisions without ids but with seq."""
     differs = F.col("_before").isNotNull() & (F.col("_before") != F.col("content_hash"))
-    return rows.where(differs).select("seq", *(F.col(c) for c in REVISIONS.fieldNames() if c not in ("revision_id", "changed_at")), F.col("collected_at").alias("changed_at"))
+    return rows.where(differs).select("seq", "sub", *(F.col(c) for c in REVISIONS.fieldNames() if c not in ("revision_id", "changed_at")), F.col("collected_at").alias("changed_at"))
 
 
 def merge_notices(current: DataFrame, incoming: DataFrame, collected_at: datetime, mode: str) -> tuple[DataFrame, DataFrame]:
     """(new current state, revisions without ids but with seq).
 
     incoming holds duid, title, category_id, category_name, posted_date, updated_date, department, source_url,
-    attachments_present, for details body, and seq, a long that orders the rows of the batch. A revision holds the new
+    attachments_present, for details body, seq, a long that orders the rows of the batch, and sub, if it is there, another one
+    among rows of equal seq. A revision holds the new
     values of a row whose hash differs from its predecessor's, in the batch or else in the store; the first row of an
     unknown key gives none. Rows without duid are left out.
     """
@@ -103,21 +107,26 @@ def merge_notices(current: DataFrame, incoming: DataFrame, collected_at: datetim
 
 
 def numbered_revisions(revisions: DataFrame, after: int, count: int | None = None, block: int = ID_BLOCK) -> DataFrame:
-    """Revisions with ids from after + 1 in order of seq, then duid and hash. count is their number, where it is known.
+    """Revisions with ids from after + 1 in order of seq, sub, duid and hash. count is their number, where it is known.
 
-    They are cut into ranges of seq of about equal counts, whatever the values of seq; a task numbers the rows of one, and
-    the rows before it are counted by range. Rows are read three times, so they should be a table.
+    They are cut into ranges of that whole order, of about equal counts, so a batch of one seq is cut as well; a task numbers
+    the rows of a range, and the rows before it are counted by range. Rows are read three times, so they should be a table.
     """
     blocks = min(MAX_BLOCKS, -(-(revisions.count() if count is None else count) // block))
-    cuts = sorted(set(revisions.agg(F.percentile_approx("seq", [i / blocks for i in range(1, blocks)], 10_000)).first()[0])) if blocks > 1 else []
+    by = [c for c in ("seq", "sub", "duid", "content_hash") if c in revisions.columns]
     if blocks <= 1:
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq", "duid", "content_hash"))
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))
         return revisions.withColumn("revision_id", (F.lit(after) + rank).cast("long")).select(*REVISIONS.fieldNames())
-    own = revisions.withColumn("_block", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("seq"))) if cuts else F.lit(0))
+    # A bounded sample, the same in every run: the rows that hash lowest.
+    sample = revisions.select(*by).orderBy(F.xxhash64(*by), *by).limit(CUT_ROWS).orderBy(*by).collect()
+    cuts = list(dict.fromkeys(tuple(sample[len(sample) * i // blocks]) for i in range(1, blocks)))
+    kinds = [revisions.schema[c].dataType for c in by]
+    place = F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(by, cut, kinds, strict=True))) for cut in cuts))
+    own = revisions.withColumn("_block", F.size(F.filter(place, lambda c: c < F.struct(*by))))
     # At most MAX_BLOCKS rows are in this window.
     before = own.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("_block").orderBy("seq", "duid", "content_hash"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(*by))
     return own.join(before, "_block").withColumn("revision_id", (F.lit(after) + F.col("_base") + rank).cast("long")).select(*REVISIONS.fieldNames())
 
 

@@ -7,7 +7,8 @@ system with exclusive links or renames (local, HDFS); other ones are only read.
 
 Notices are a base, split into buckets by key, and deltas above it, which hold a row for each key that a commit wrote;
 the newest row of a key counts. A commit writes what it changes; deltas are merged by size now and then, and become a
-new base when they are a quarter of it. The search index has a layer for each commit, too: postings of the rows written,
+new base when they are a quarter of it. A writer announces itself by an intent before its first folder; vacuum spares
+what announced writers wrote and what held versions name. The search index has a layer for each commit, too: postings of the rows written,
 of which those count whose notice is still of that version. Revisions are only appended.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -45,6 +47,10 @@ FIRST_BASE = 10_000
 #: Keys of a batch that are listed in the filter of a scan; more are joined.
 LISTED_KEYS = 1_000
 RETRIES = 5
+#: Seconds after which an announced writer, or the holder of a version, counts as dead.
+INTENT_SECONDS = 24 * 3600
+#: Steps of the ledger that are read one by one before they are folded into one folder.
+LEDGER_STEPS = 16
 #: File systems on which publishing a manifest can't overwrite another one.
 WRITABLE = ("file", "hdfs", "viewfs")
 
@@ -61,7 +67,9 @@ POSTINGS = T.StructType(
         T.StructField("size", T.IntegerType()),
     ]
 )
-_FILES = {"notices": STORED, "notice_revisions": TABLES["notice_revisions"], "crawl_runs": TABLES["crawl_runs"], "postings": POSTINGS}
+#: The ledger as it is written: rows as steps left them, with the version of the step.
+STEPS = T.StructType([*TABLES["crawl_runs"].fields, _VERSION])
+_FILES = {"notices": STORED, "notice_revisions": TABLES["notice_revisions"], "crawl_runs": STEPS, "postings": POSTINGS}
 _EMPTY = {"notices": {"base": None, "deltas": [], "written": 0, "n": 0, "words": 0, "last_revision": 0}, "notice_revisions": [], "postings": [], "crawl_runs": []}
 _FAILURES = (PySparkException, Py4JJavaError)
 
@@ -131,6 +139,20 @@ class _Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self.path(name), True)
 
+    def put(self, name: str) -> None:
+        """An empty file."""
+        self._fs.create(self.path(name), True).close()
+
+    def there(self, name: str) -> bool:
+        return self._fs.exists(self.path(name))
+
+    def age(self, name: str) -> float:
+        """Seconds since a file was written; 0 if it is gone meanwhile."""
+        try:
+            return time.time() - self.changed_at(name) / 1000
+        except Py4JJavaError:
+            return 0.0
+
 
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("duid"), F.lit(buckets)).cast("int")
@@ -156,6 +178,7 @@ class NoticeStore:
     def __init__(self, spark: SparkSession, root: str, manifest: dict, files: _Files, read_only: bool):
         self.spark, self.root, self.read_only = spark, root, read_only
         self._files, self._manifest = files, manifest
+        self._token: str | None = None
 
     # Reading
 
@@ -198,7 +221,10 @@ class NoticeStore:
         return self._read("notice_revisions", [layer["path"] for layer in self._manifest["notice_revisions"]])
 
     def runs(self) -> DataFrame:
-        return self._read("crawl_runs", self._manifest["crawl_runs"])
+        """The ledger: of each run the row of its last step."""
+        rest = [c for c in TABLES["crawl_runs"].fieldNames() if c != "run_id"]
+        steps = self._read("crawl_runs", self._manifest["crawl_runs"])
+        return steps.groupBy("run_id").agg(F.max_by(F.struct(*rest), "_version").alias("_row")).select("run_id", "_row.*")
 
     def index(self) -> DataFrame:
         return search_index(self.notices())
@@ -260,17 +286,48 @@ class NoticeStore:
         if self.read_only:
             raise ReadOnlyStorageError(operation)
 
+    @contextmanager
+    def _announced(self) -> Iterator[None]:
+        """While this lasts, folders that carry its token are spared by vacuum."""
+        if self._token is not None:
+            yield
+            return
+        self._token = uuid.uuid4().hex
+        self._files.put(f"intents/{self._token}")
+        try:
+            yield
+        finally:
+            token, self._token = self._token, None
+            self._files.delete(f"intents/{token}")
+
+    def _path(self, table: str) -> str:
+        return f"data/{table}/{self.version + 1}-{self._token}-{uuid.uuid4().hex}"
+
     def _write(self, df: DataFrame, table: str) -> str:
-        path = f"data/{table}/{self.version + 1}-{uuid.uuid4().hex}"
+        path = self._path(table)
         df.write.parquet(self._at(path))
         return path
 
+    @contextmanager
+    def hold(self) -> Iterator[None]:
+        """While this lasts, vacuum keeps the version that this store reads; for readers that may write to its folder."""
+        name = f"holds/{self.version}-{uuid.uuid4().hex}"
+        self._files.put(name)
+        try:
+            yield
+        finally:
+            self._files.delete(name)
+
     def _publish(self, change: Callable[[], dict | None]) -> None:
         """Publishes the tables that change() makes of the version this store is on; nothing if it makes none.
 
         If another writer was first, the change goes onto that one's version as it is, unless both changed the same table:
-        then it is made anew.
+        then it is made anew. Nothing is published once the writer's intent is gone: its folders may be.
         """
+        with self._announced():
+            self._published(change)
+
+    def _published(self, change: Callable[[], dict | None]) -> None:
         for _ in range(RETRIES):
             base = self._manifest
             tables = change()
@@ -282,6 +339,8 @@ class NoticeStore:
                     self._manifest = newest
                     break
                 new = newest | tables | {"version": free}
+                if not self._files.there(f"intents/{self._token}"):
+                    raise StorageUnavailableError("the writer was given up")
                 if self._files.create(_name(free), json.dumps(new)):
                     self._manifest = new
                     return
@@ -290,7 +349,7 @@ class NoticeStore:
     @contextmanager
     def _staging(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
         """Writes what is read several times once, so that a source that can't be repeated gives one answer."""
-        folder = f"data/staged/{uuid.uuid4().hex}"
+        folder = f"data/staged/0-{self._token}-{uuid.uuid4().hex}"
 
         def stage(df: DataFrame) -> DataFrame:
             path = self._at(f"{folder}/{uuid.uuid4().hex}")
@@ -324,7 +383,7 @@ class NoticeStore:
 
     def _indexed(self, rows: DataFrame, words: int, level: int = 0) -> dict:
         parts = max(1, min(MAX_BUCKETS, words // PART_WORDS))
-        path = f"data/postings/{self.version + 1}-{uuid.uuid4().hex}"
+        path = self._path("postings")
         dealt = rows.select(*POSTINGS.fieldNames()).withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
         if parts > 1:  # a frequent term's postings are dealt over several tasks, which all write into its part
             dealt = dealt.repartition("_part", F.pmod(F.xxhash64("duid"), F.lit(PART_TASKS)))
@@ -333,7 +392,7 @@ class NoticeStore:
 
     def _merged(self, incoming: DataFrame, mode: str, collected_at: datetime, gone: DataFrame | None) -> None:
         """All or nothing: rows, revisions, tombstones and postings become visible with one manifest."""
-        with self._staging() as stage:
+        with self._announced(), self._staging() as stage:
             batch = stage(merge.cleaned(incoming, mode))
             keys = batch.select("duid")
             if gone is not None:
@@ -375,7 +434,7 @@ class NoticeStore:
         rows = sum(layer["rows"] for layer in deltas)
         if rows >= FIRST_BASE if not base and len(deltas) < FANOUT else len(deltas) >= FANOUT and rows * BASE_SHARE >= (base["rows"] if base else 0):
             buckets = max(1, min(MAX_BUCKETS, ((base["rows"] if base else 0) + rows) // BUCKET_ROWS))
-            path = f"data/notices/{self.version + 1}-{uuid.uuid4().hex}"
+            path = self._path("notices")
             whole = self._stored().withColumn("_bucket", _bucket(buckets))
             whole.repartitionByRange("_bucket", "duid").sortWithinPartitions("_bucket", "duid").write.partitionBy("_bucket").parquet(self._at(path))
             tables["notices"] = own | {"base": {"path": path, "rows": self.spark.read.parquet(self._at(path)).count(), "buckets": buckets}, "deltas": []}
@@ -419,24 +478,38 @@ class NoticeStore:
         empty = self.spark.createDataFrame([], NOTICES).withColumn("seq", F.lit(0).cast("long"))
         self._merged(empty, merge.DETAIL, tombstone_at, gone)
 
-    def sweep_bodies(self, now: datetime) -> list[str]:
-        """Ids whose body went. Only their rows are written."""
+    def sweep_bodies(self, now: datetime) -> DataFrame:
+        """Takes due bodies out; gives the ids (duid), a table that stands until the next vacuum. Only their rows are written."""
         self._writable("sweep bodies")
-        due: list[str] = []
+        swept: list[DataFrame] = []
 
         def change() -> dict | None:
-            ids = merge.expired_bodies(self.notices(), now)
-            due[:] = [r["duid"] for r in ids.collect()]
+            path = self._path("swept")
+            merge.expired_bodies(self.notices(), now).write.parquet(self._at(path))
+            ids = self.spark.read.schema("duid string").parquet(self._at(path))
+            swept[:] = [ids]
+            if not ids.limit(1).count():
+                return None
             old = self._stored().join(ids, "duid", "left_semi").select(*STORED.fieldNames())
-            return self._layered(old, merge.sweep_bodies(old, now)) if due else None
+            return self._layered(old, merge.sweep_bodies(old, now))
 
         self._publish(change)
         self._compact()
-        return due
+        return swept[0]
 
     def _ledger(self, operation: str, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Appends the rows that a step changes, with its version; many steps are folded into one folder now and then."""
         self._writable(operation)
-        self._publish(lambda: {"crawl_runs": [self._write(change(self.runs()).coalesce(1), "crawl_runs")]})
+
+        def step() -> dict:
+            own = self._manifest["crawl_runs"]
+            before = self.runs()
+            rows = change(before).exceptAll(before)
+            if len(own) >= LEDGER_STEPS:
+                rows, own = change(before), []
+            return {"crawl_runs": [*own, self._write(rows.withColumn("_version", F.lit(self.version + 1).cast("long")), "crawl_runs")]}
+
+        self._publish(step)
 
     def start_run(self, run_id: str, now: datetime) -> None:
         self._manifest = _newest(self._files)[0] if not self.read_only else self._manifest
@@ -453,18 +526,38 @@ class NoticeStore:
         return runs.recovered(self.runs(), now).collect()
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes the manifests before the newest ``keep`` and the folders that only they name, also those of writers that died."""
+        """Deletes the manifests before the newest ``keep`` that nobody holds, and the folders that only they name, also those of writers that died.
+
+        Folders are listed first, then intents, then manifests: what a writer publishes in between is named, what it wrote
+        but hasn't published is announced, and what it writes later isn't on the list. An intent that is too old is taken
+        away, which stops its writer from publishing; its folders go the next time.
+        """
         self._writable("vacuum")
+        there = [f"data/{table}/{folder}" for table in self._files.names("data") for folder in self._files.names(f"data/{table}")]
+        announced = set(self._files.names("intents"))
+        for token in announced:
+            if self._files.age(f"intents/{token}") > INTENT_SECONDS:
+                self._files.delete(f"intents/{token}")
+        held = set()
+        for name in self._files.names("holds"):
+            if self._files.age(f"holds/{name}") > INTENT_SECONDS:
+                self._files.delete(f"holds/{name}")
+            else:
+                held.add(int(name.split("-")[0]))
         found = {v: m for v in _numbers(self._files) if (m := _whole(self._files, v)) is not None}
-        kept = sorted(found)[-keep:]
+        newest = sorted(found)[-1]
+        kept = {*sorted(found)[-keep:], *(held & found.keys())}
         named = {path for v in kept for _, path in _folders(found[v])}
         for name in self._files.names("manifest"):
-            if _number(name) not in kept and (_number(name) or 0) <= kept[-1]:
+            if _number(name) not in kept and (_number(name) or 0) <= newest and not self._unpublished(name, announced):
                 self._files.delete(f"manifest/{name}")
-        for table in self._files.names("data"):
-            for folder in self._files.names(f"data/{table}"):
-                if f"data/{table}/{folder}" not in named:
-                    self._files.delete(f"data/{table}/{folder}")
+        for path in there:
+            if path not in named and not any(token in path for token in announced):
+                self._files.delete(path)
+
+    def _unpublished(self, name: str, announced: set[str]) -> bool:
+        """Whether a file beside the manifests is one that a writer is about to publish."""
+        return _number(name) is None and bool(announced)
 
 
 def _name(version: int) -> str:
