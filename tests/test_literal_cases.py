@@ -1,0 +1,76 @@
+"""Single addresses, answers and robots files with what is to be said of them."""
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import urls
+from tidemark.sources import robots, wire
+
+_SITE = urls.BoardSite()
+_PATH = _SITE.path
+_DETAIL = f"{_SITE.origin}{_SITE.path}?{urls.DETAIL_QUERY}"
+_LIST = f"{_SITE.origin}{_SITE.path}?{urls.LIST_QUERY}"
+
+_URLS = (
+    (f"{_DETAIL}12", None, None),
+    (f"{_LIST}3", None, None),
+    (f"{_LIST}0", "wrong_query", None),
+    (f"{_DETAIL}1234567890123", "wrong_query", None),
+    (_DETAIL.replace("https", "http") + "1", "wrong_scheme", "invalid_scheme"),
+    ("https://elsewhere.example.org/x", "wrong_host", "invalid_host"),
+    (f"https://me@{_SITE.host}{_SITE.path}?{urls.DETAIL_QUERY}1", "wrong_host", "userinfo"),
+    (f"https://{_SITE.host}:8443{_SITE.path}?{urls.DETAIL_QUERY}1", "wrong_host", "invalid_port"),
+    (f"https://{_SITE.host}:443{_SITE.path}?{urls.DETAIL_QUERY}1", None, None),
+    (f"https://{_SITE.host}:99999{_SITE.path}", "malformed_url", "malformed_target"),
+    (f"{_DETAIL}1#top", "wrong_path", "fragment"),
+    (f"https://{_SITE.host}/other", "wrong_path", "disallowed_path"),
+)
+
+_HTML = "text/html; charset=utf-8"
+_RESPONSES = (
+    # url, status, headers, body, error -> outcome, reason
+    (f"{_LIST}1", 200, {"Content-Type": _HTML}, b"<p>fine</p>", None, "page", None),
+    (f"{_LIST}2", 200, {"content-type": "text/plain"}, b"text", None, "markup", None),
+    (f"{_LIST}3", 200, {"Content-Type": _HTML}, b"\xff\xfe", None, "markup", None),
+    (f"{_LIST}4", 403, {}, b"Access Denied", None, "blocked", "captcha"),
+    (f"{_LIST}5", 403, {}, b"no", None, "blocked", "forbidden"),
+    (f"{_LIST}6", 429, {}, b"", None, "blocked", "rate_limit"),
+    (f"{_LIST}7", 500, {}, b"", None, "blocked", "http_failure"),
+    (f"{_DETAIL}8", 404, {}, b"gone", None, "gone", None),
+    (f"{_LIST}9", 302, {}, b"", None, "blocked", "invalid_redirect_target"),
+    (f"{_LIST}10", 302, {"location": "https://elsewhere.example.org/"}, b"", None, "blocked", "cross_host_redirect"),
+    (f"{_LIST}11", 301, {"Location": "/elsewhere"}, b"", None, "blocked", "disallowed_redirect_path"),
+    (f"{_LIST}12", 301, {"Location": f"{_LIST}13"}, b"", None, "blocked", "redirect"),
+    (f"{_LIST}14", None, None, None, "timeout", "blocked", "transport_failure"),
+    (f"{_LIST}15", 200, {"Content-Type": _HTML}, b"behind a WAF.", None, "blocked", "captcha"),
+    (f"{_LIST}16", 200, {"Content-Type": _HTML}, b"wafer", None, "page", None),
+)
+
+_ROBOTS = (
+    ("open", 200, "text/plain", b"User-agent: *\nAllow: /\nCrawl-delay: 3", True, 3.0, None),
+    ("closed", 200, "text/plain", f"User-agent: *\nDisallow: {_PATH}".encode(), False, 2.0, "robots_disallowed"),
+    ("longer allow", 200, "text/plain; charset=utf-8", f"User-agent: *\nDisallow: /ko/\nAllow: {_PATH}".encode(), True, 0.0, None),
+    ("tie", 200, "text/plain", b"User-agent: *\nDisallow: /ko/\nAllow: /ko/", True, 0.0, None),
+    ("others only", 200, "text/plain", b"User-agent: x\nDisallow: /", False, 2.0, "robots_malformed"),
+    ("wildcard end", 200, "text/plain", b"User-agent: *\nDisallow: /*notice.jsp$", False, 2.0, "robots_disallowed"),
+    ("html", 200, "text/html", b"<p>", False, 2.0, "robots_invalid_content_type"),
+    ("status", 503, "text/plain", b"", False, 2.0, "robots_http_failure"),
+    ("challenge", 503, "text/html", b"Captcha", False, 2.0, "robots_captcha"),
+)
+
+
+def test_addresses(spark):
+    own = spark.createDataFrame([(u,) for u, _, _ in _URLS], "url string")
+    got = own.select("url", urls.source_url_issue(F.col("url")), urls.wire_target_issue(F.col("url"), robots=False)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(_URLS, key=str)
+
+
+def test_answers(spark):
+    own = spark.createDataFrame([r[:5] for r in _RESPONSES], "url string, status_code int, headers map<string,string>, body binary, error string")
+    got = {r["url"]: (r["outcome"], r["reason"]) for r in wire.classified(own).select("url", "outcome", "reason").collect()}
+    assert got == {r[0]: r[5:] for r in _RESPONSES}
+
+
+def test_robots_files(spark):
+    own = spark.createDataFrame([r[:4] for r in _ROBOTS], "name string, status_code int, content_type string, body binary")
+    got = {r["name"]: tuple(r)[1:] for r in robots.robots_decisions(own).select("name", "decision.allowed", "decision.crawl_delay", "decision.block_reason").collect()}
+    assert got == {r[0]: r[4:] for r in _ROBOTS}

@@ -304,9 +304,10 @@ def ttl_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.expired_bodies(views.notices(spark, sf_dir), NOW)
 
 
-@query(f"WITH {_INCOMING} SELECT duid FROM batch WHERE NOT known OR seq % 6 = 0")
+@query(f"WITH {_NOTICES} SELECT duid FROM notices WHERE doc_id % 4 IN (1, 2) UNION ALL SELECT CAST(doc_id + 900000000000 AS VARCHAR) FROM notices")
 def needs_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feed.needs_detail(views.incoming(spark, sf_dir), views.notices(spark, sf_dir)).select("duid")
+    """All notices as list rows, of which a quarter have another title and a quarter another day, and as many unknown keys."""
+    return feed.needs_detail(views.listed(spark, sf_dir), views.notices(spark, sf_dir)).select("duid")
 
 
 @query()
@@ -395,31 +396,23 @@ def url_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", urls.detail_url(F.col("doc_id").cast("string")).alias("detail_url"), urls.list_url(F.col("doc_id")).alias("list_url"))
 
 
-_URLS = (
-    (f"{_DETAIL}12", None, None),
-    (f"{_LIST}3", None, None),
-    (f"{_LIST}0", "wrong_query", None),
-    (f"{_DETAIL}1234567890123", "wrong_query", None),
-    (_DETAIL.replace("https", "http") + "1", "wrong_scheme", "invalid_scheme"),
-    ("https://elsewhere.example.org/x", "wrong_host", "invalid_host"),
-    (f"https://me@{_SITE.host}{_SITE.path}?{urls.DETAIL_QUERY}1", "wrong_host", "userinfo"),
-    (f"https://{_SITE.host}:8443{_SITE.path}?{urls.DETAIL_QUERY}1", "wrong_host", "invalid_port"),
-    (f"https://{_SITE.host}:443{_SITE.path}?{urls.DETAIL_QUERY}1", None, None),
-    (f"https://{_SITE.host}:99999{_SITE.path}", "malformed_url", "malformed_target"),
-    (f"{_DETAIL}1#top", "wrong_path", "fragment"),
-    (f"https://{_SITE.host}/other", "wrong_path", "disallowed_path"),
-)
-
+# Addresses of the given pages, as they are and put onto the board's host, path and queries.
+_ON_BOARD = f"""CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN '{_DETAIL}' || page_id WHEN 2 THEN '{_LIST}' || page_id % 3 WHEN 3 THEN '{_SITE.origin}' || path WHEN 4 THEN '{_DETAIL}' || page_id || '#' || host
+  WHEN 5 THEN 'https://' || host || '@{_SITE.host}{_SITE.path}?{urls.DETAIL_QUERY}' || page_id WHEN 6 THEN 'https://{_SITE.host}:' || (443 + page_id % 2) || '{_SITE.path}?{urls.DETAIL_QUERY}' || page_id ELSE '{_SITE.origin}{_SITE.path}' || path END"""
+_SPLIT = "regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path"
+_ADDRESSED = f"addressed AS (SELECT page_id, path, {_ON_BOARD} AS address FROM (SELECT page_id, url, {_SPLIT} FROM pages))"
 
-def _values(rows) -> str:
-    show = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
-    return ", ".join(f"({', '.join(map(show, r))})" for r in rows)
 
-
-@query(f"SELECT * FROM (VALUES {_values(_URLS)}) AS t(url, source_issue, target_issue)")
+@query(
+    f"WITH {_ADDRESSED} SELECT page_id, address,"
+    f" CASE page_id % 8 WHEN 0 THEN CASE WHEN address LIKE 'https:%' THEN 'wrong_host' ELSE 'wrong_scheme' END WHEN 2 THEN CASE WHEN page_id % 3 = 0 THEN 'wrong_query' END WHEN 3 THEN 'wrong_path' WHEN 4 THEN 'wrong_path' WHEN 5 THEN 'wrong_host' WHEN 6 THEN CASE WHEN page_id % 2 = 1 THEN 'wrong_host' END WHEN 7 THEN CASE WHEN path = '' THEN 'wrong_query' ELSE 'wrong_path' END END AS source_issue,"
+    f" CASE page_id % 8 WHEN 0 THEN CASE WHEN address LIKE 'https:%' THEN 'invalid_host' ELSE 'invalid_scheme' END WHEN 3 THEN 'disallowed_path' WHEN 4 THEN 'fragment' WHEN 5 THEN 'userinfo' WHEN 6 THEN CASE WHEN page_id % 2 = 1 THEN 'invalid_port' END WHEN 7 THEN CASE WHEN path <> '' THEN 'disallowed_path' END END AS target_issue FROM addressed"
+)
 def url_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([(u,) for u, _, _ in _URLS], "url string")
-    return own.select("url", urls.source_url_issue(F.col("url")).alias("source_issue"), urls.wire_target_issue(F.col("url"), robots=False).alias("target_issue"))
+    """The pages' addresses, as they are and put onto the board, judged as sources and as targets."""
+    pages = table(spark, sf_dir, "pages").withColumns({"host": F.regexp_extract("url", "^[a-zA-Z]+://([^/?#]*)", 1), "path": F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)})
+    own = pages.select("page_id", F.expr(_ON_BOARD).alias("address"))
+    return own.select("page_id", "address", urls.source_url_issue(F.col("address")).alias("source_issue"), urls.wire_target_issue(F.col("address"), robots=False).alias("target_issue"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id AS VARCHAR) WHEN doc_id % 3 = 1 THEN CAST(doc_id + 1 AS VARCHAR) END AS duid FROM documents")
@@ -516,59 +509,54 @@ def page_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Responses
 
-_HTML = "text/html; charset=utf-8"
-_RESPONSES = (
-    # url, status, headers, body, error -> outcome, reason
-    (f"{_LIST}1", 200, {"Content-Type": _HTML}, b"<p>fine</p>", None, "page", None),
-    (f"{_LIST}2", 200, {"content-type": "text/plain"}, b"text", None, "markup", None),
-    (f"{_LIST}3", 200, {"Content-Type": _HTML}, b"\xff\xfe", None, "markup", None),
-    (f"{_LIST}4", 403, {}, b"Access Denied", None, "blocked", "captcha"),
-    (f"{_LIST}5", 403, {}, b"no", None, "blocked", "forbidden"),
-    (f"{_LIST}6", 429, {}, b"", None, "blocked", "rate_limit"),
-    (f"{_LIST}7", 500, {}, b"", None, "blocked", "http_failure"),
-    (f"{_DETAIL}8", 404, {}, b"gone", None, "gone", None),
-    (f"{_LIST}9", 302, {}, b"", None, "blocked", "invalid_redirect_target"),
-    (f"{_LIST}10", 302, {"location": "https://elsewhere.example.org/"}, b"", None, "blocked", "cross_host_redirect"),
-    (f"{_LIST}11", 301, {"Location": "/elsewhere"}, b"", None, "blocked", "disallowed_redirect_path"),
-    (f"{_LIST}12", 301, {"Location": f"{_LIST}13"}, b"", None, "blocked", "redirect"),
-    (f"{_LIST}14", None, None, None, "timeout", "blocked", "transport_failure"),
-    (f"{_LIST}15", 200, {"Content-Type": _HTML}, b"behind a WAF.", None, "blocked", "captcha"),
-    (f"{_LIST}16", 200, {"Content-Type": _HTML}, b"wafer", None, "page", None),
-)
+# The given pages as captured answers: the status follows from the number, the body is the page's markup.
+_STATUSES = (200, 403, 404, 429, 500, 302, 200, None)
+_MARKER = " OR ".join(f"contains(head, '{m}')" for m in urls.CHALLENGE_MARKERS if m != "waf") + " OR regexp_matches(head, '(^|[^a-z0-9])waf([^a-z0-9]|$)')"
+_ANSWERS = f"answers AS (SELECT page_id, page_id % 8 AS k, {_MARKER} AS marked FROM (SELECT page_id, lower(left(html, {urls.CHALLENGE_BYTES})) AS head FROM pages))"
 
 
-@query(f"SELECT * FROM (VALUES {_values([(r[0], r[5], r[6]) for r in _RESPONSES])}) AS t(url, outcome, reason)")
+@query(
+    f"WITH {_ANSWERS} SELECT page_id, CASE WHEN k = 7 OR marked OR k IN (1, 3, 4, 5) THEN 'blocked' WHEN k = 2 THEN 'gone' WHEN k = 6 THEN 'markup' ELSE 'page' END AS outcome,"
+    " CASE WHEN k = 7 THEN 'transport_failure' WHEN marked THEN 'captcha' WHEN k = 1 THEN 'forbidden' WHEN k = 3 THEN 'rate_limit' WHEN k = 4 THEN 'http_failure' WHEN k = 5 THEN 'cross_host_redirect' END AS reason FROM answers"
+)
 def response_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([r[:5] for r in _RESPONSES], "url string, status_code int, headers map<string,string>, body binary, error string")
-    return wire.classified(own).select("url", "outcome", "reason")
+    """The pages as answers with each kind of status; redirects lead to the page's own address, every eighth is sent as plain text."""
+    k = F.pmod("page_id", F.lit(len(_STATUSES))).cast("int")
+    own = table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit(_LIST), "page_id").alias("url"), F.array(*map(F.lit, _STATUSES))[k].alias("status_code"),
+        F.create_map(F.lit("Content-Type"), F.when(k == 6, "text/plain").otherwise("text/html; charset=utf-8"), F.lit("location"), F.regexp_replace("url", "^[a-z]+:", "https:")).alias("headers"),
+        F.col("html").cast("binary").alias("body"), F.when(k == 7, "timeout").alias("error"),
+    )
+    return wire.classified(own).select("page_id", "outcome", "reason")
 
 
 _PATH = _SITE.path
-_ROBOTS = (
-    ("open", 200, "text/plain", b"User-agent: *\nAllow: /\nCrawl-delay: 3", True, 3.0, None),
-    ("closed", 200, "text/plain", f"User-agent: *\nDisallow: {_PATH}".encode(), False, 2.0, "robots_disallowed"),
-    ("longer allow", 200, "text/plain; charset=utf-8", f"User-agent: *\nDisallow: /ko/\nAllow: {_PATH}".encode(), True, 0.0, None),
-    ("tie", 200, "text/plain", b"User-agent: *\nDisallow: /ko/\nAllow: /ko/", True, 0.0, None),
-    ("others only", 200, "text/plain", b"User-agent: x\nDisallow: /", False, 2.0, "robots_malformed"),
-    ("wildcard end", 200, "text/plain", b"User-agent: *\nDisallow: /*notice.jsp$", False, 2.0, "robots_disallowed"),
-    ("html", 200, "text/html", b"<p>", False, 2.0, "robots_invalid_content_type"),
-    ("status", 503, "text/plain", b"", False, 2.0, "robots_http_failure"),
-    ("challenge", 503, "text/html", b"Captcha", False, 2.0, "robots_captcha"),
-)
 
 
-@query(f"SELECT name, allowed, CAST(crawl_delay AS DOUBLE) AS crawl_delay, block_reason FROM (VALUES {_values([(r[0], *r[4:]) for r in _ROBOTS])}) AS t(name, allowed, crawl_delay, block_reason)")
+@query(
+    f"WITH {_ANSWERS}, files AS (SELECT a.page_id, a.page_id % 4 AS k, marked, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path FROM answers a JOIN pages p ON p.page_id = a.page_id),"
+    f" judged AS (SELECT page_id, CASE WHEN k >= 2 AND marked THEN 'robots_captcha' WHEN k = 0 AND path <> '' AND starts_with('{_PATH}', path) THEN 'robots_disallowed' WHEN k = 1 THEN 'robots_disallowed' WHEN k = 2 THEN 'robots_malformed' WHEN k = 3 THEN 'robots_invalid_content_type' END AS block_reason FROM files)"
+    " SELECT page_id, block_reason IS NULL AS allowed, CASE WHEN block_reason IS NULL THEN CAST(page_id % 9 AS DOUBLE) ELSE 2.0 END AS crawl_delay, block_reason FROM judged"
+)
 def robots_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame([r[:4] for r in _ROBOTS], "name string, status_code int, content_type string, body binary")
-    return robots.robots_decisions(own).select("name", "decision.allowed", "decision.crawl_delay", "decision.block_reason")
+    """Robots files out of the pages: rules with the page's own path, with the board's, and the page's markup sent as a file."""
+    k, path = F.pmod("page_id", F.lit(4)), F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
+    rules = F.concat(F.lit("User-agent: *\n"), F.when(k == 0, F.concat(F.lit("Disallow: "), path)).otherwise(F.concat(F.lit("Allow: "), path, F.lit("\nDisallow: /ko/"))), F.lit("\nCrawl-delay: "), F.pmod("page_id", F.lit(9)).cast("string"))
+    own = table(spark, sf_dir, "pages").select("page_id", F.lit(200).alias("status_code"), F.when(k == 3, "text/html").otherwise("text/plain").alias("content_type"), F.when(k < 2, rules).otherwise(F.col("html")).cast("binary").alias("body"))
+    return robots.robots_decisions(own).select("page_id", "decision.allowed", "decision.crawl_delay", "decision.block_reason")
 
 
-@query("SELECT page_id, 'markup' AS reason FROM pages")
+@query("SELECT page_id, 'markup' AS reason FROM pages WHERE page_id % 3 <> 0")
 def captured_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The driver's pages, each with its own address and markup, as captured list responses. None of the given ones is a notice board."""
+    """The driver's pages as captured list responses, each with its own address; every third one has a notice board put before its markup. Those without one are blocked."""
+    board = F.concat(
+        F.lit('<div class="board-list-box"><ul><li><strong class="category">[일반]</strong><a href="?BoardMode=view&DUID='), F.col("page_id").cast("string"), F.lit('">Notice '), F.col("page_id").cast("string"),
+        F.lit('</a><p class="info">no | 2024-01-05 | 2024.01.06 | Office</p></li></ul></div>'),
+    )
+    page = F.when(F.pmod("page_id", F.lit(3)) == 0, F.regexp_replace("html", "<body[^>]*>", F.concat(F.lit("<body>"), board))).otherwise(F.col("html"))
     own = table(spark, sf_dir, "pages").select(
         "page_id", F.lit("index").alias("kind"), F.lit(None).cast("string").alias("duid"), "url", F.lit(200).alias("status_code"),
-        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.col("html").cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
+        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), page.cast("binary").alias("body"), F.lit(None).cast("string").alias("error"),
     )
     return collect_captured(own).blocked
 

@@ -108,3 +108,12 @@ def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     unknown = own.withColumn("duid", (number + 900_000_000_000).cast("string"))
     both = known.unionByName(unknown)
     return both.select("duid", "title", "category_id", "category_name", "posted_date", "updated_date", "department", "source_url", "attachments_present", "body", F.col("duid").cast("long").alias("seq"))
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notices as list rows, of four every second one with a new title, every third one with a later day; and as many unknown keys."""
+    own = notices(spark, sf_dir)
+    number = F.col("duid").cast("long")
+    fourth = F.pmod(number, F.lit(4))
+    known = own.withColumns({"title": F.when(fourth == 1, F.concat(F.lit("New "), F.col("title"))).otherwise(F.col("title")), "updated_date": F.when(fourth == 2, F.date_add("updated_date", 1)).otherwise(F.col("updated_date"))})
+    return known.unionByName(own.withColumn("duid", (number + 900_000_000_000).cast("string"))).select("duid", "title", "category_id", "category_name", "posted_date", "updated_date", "department", "source_url", "attachments_present")
