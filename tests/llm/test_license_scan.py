@@ -128,3 +128,21 @@ def test_many_notices_in_one_text():
     words = words_in("Released under the MIT License. Some other words here. " * 4000)
     found = index.matches(words, hashes)
     assert len(found) == 4000 and all(a.last < b.first for a, b in zip(found, found[1:]))
+
+
+def test_whole_licenses_are_found_and_told_apart():
+    rng = random.Random(12)
+    texts = {t.license: t.text for t in license_texts()}
+    assert {"Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0"} <= texts.keys()
+    index, hashes = TemplateIndex(license_texts()), WordHashes()
+    for license, text in texts.items():
+        words = words_in(text)
+        if not 500 <= len(words) <= 3_000:
+            continue  # the others have tests of their own, or take a minute
+        other = [f"w{rng.randrange(999)}" if rng.random() < 0.08 else w for w in words]
+        found = index.matches(words_in("some words before ") + other + words_in(" and of the others after"), hashes)
+        assert [m.template.license for m in found] == [license] and found[0].coverage >= 0.88 and found[0].first <= 10
+    half = words_in(texts["MPL-2.0"])
+    assert not [m for m in index.matches(half[: len(half) // 2], hashes) if m.template.license == "MPL-2.0"]
+    # Words that any text has are no hits of the long ones.
+    assert index.matches("of the and to the of this in the is the".split() * 50, hashes) == []

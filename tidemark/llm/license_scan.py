@@ -2,8 +2,10 @@
 
 Templates and documents are lists of lower-cased words. Of the hashes of two words in a row, winnowing keeps the
 smallest in each two neighbours, so any three words in a row that a template and a document share give a common
-fingerprint. Of templates of a dozen words all hashes count, because one other word may leave no three in a row. An
-inverted index of the templates' fingerprints turns the documents' ones into hits (template,
+fingerprint. Of templates of a dozen words all hashes count, because one other word may leave no three in a row. Whole
+licenses of hundreds of words have pairs like "of the" in any number; their fingerprints are the hashes of all four words in
+a row, of which a match of four fifths must have some: with a fifth of the template and a band's worth of other words in
+between, its matched words can't all be in runs of three. An inverted index of the templates' fingerprints turns the documents' ones into hits (template,
 diagonal); hits near each other are a candidate. A banded alignment of the template with the words around it gives
 the matched words and their span. Templates are few and of known size, so the index is part of the task.
 """
@@ -28,6 +30,8 @@ BAND = 8
 #: Templates of fewer words have all their hashes in the index; in longer ones than MANY_WORDS, which share dozens of
 #: fingerprints with a match, one hit alone is no candidate.
 FEW_WORDS, MANY_WORDS = 12, 60
+#: Templates of so many words and more are found by four words in a row.
+LONG_WORDS, LONG_RUN = 500, (0, 1, 2, 3)
 #: Bound of the templates' words together, checked before the index is made.
 MAX_TEMPLATE_WORDS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -159,11 +163,11 @@ class TemplateIndex:
             raise ValueError("these templates are too many words for one index")
         self.min_coverage, self.band = min_coverage, band
         hashes = WordHashes()
-        # Fingerprints by how documents are looked through: winnowed pairs of words, all pairs, single words.
-        self.index: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {}, {})
+        # Fingerprints by how documents are looked through: winnowed pairs of words, all pairs, single words, all four words in a row.
+        self.index: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {}, {}, {})
         for k, words in enumerate(self.words):
-            own = window_hashes(hashes.array(words), (0, 1)) if len(words) > 1 else hashes.array(words)
-            kind = 2 if len(words) == 1 else 1 if len(words) < FEW_WORDS else 0
+            kind = 2 if len(words) == 1 else 1 if len(words) < FEW_WORDS else 0 if len(words) < LONG_WORDS else 3
+            own = hashes.array(words) if kind == 2 else window_hashes(hashes.array(words), LONG_RUN if kind == 3 else (0, 1))
             for p in (np.arange(len(own)) if kind else winnowed(own)).tolist():
                 self.index[kind].setdefault(int(own[p]), []).append((k, p))
         self._tables = [np.zeros(1 << 20, bool) for _ in self.index]
@@ -177,10 +181,11 @@ class TemplateIndex:
         own = hashes.array(words)
         marks = window_hashes(own, (0, 1))
         hits: dict[int, Counter[int]] = {}
-        for index, table, values, chosen in zip(self.index, self._tables, (marks, marks, own), (winnowed, lambda v: np.arange(len(v)), lambda v: np.arange(len(v))), strict=True):
+        runs = window_hashes(own, LONG_RUN) if self.index[3] else own[:0]
+        for kind, (index, table, values) in enumerate(zip(self.index, self._tables, (marks, marks, own, runs), strict=True)):
             if not index or not len(values):
                 continue
-            spots = chosen(values)
+            spots = np.arange(len(values)) if kind else winnowed(values)
             for p in spots[table[values[spots] >> np.uint64(44)]].tolist():
                 for k, at in index.get(int(values[p]), ()):
                     hits.setdefault(k, Counter())[p - at] += 1
