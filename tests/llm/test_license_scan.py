@@ -146,3 +146,10 @@ def test_whole_licenses_are_found_and_told_apart():
     assert not [m for m in index.matches(half[: len(half) // 2], hashes) if m.template.license == "MPL-2.0"]
     # Words that any text has are no hits of the long ones.
     assert index.matches("of the and to the of this in the is the".split() * 50, hashes) == []
+
+
+def test_columns_of_any_name_beside(spark):
+    rows = [(1, "Released under the MIT License."), (2, "nothing of that kind"), (3, None)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    named = plain.selectExpr("*", "'x' AS license", "1 AS matched", "2 AS coverage", "3 AS template", "4 AS start_char", "5 AS end_char")
+    assert sorted(map(tuple, scan_licenses(named).collect())) == sorted(map(tuple, scan_licenses(plain).collect())) != []

@@ -248,3 +248,18 @@ def test_rule_edge_cases(spark):
     assert rule_quality(docs.limit(0), model).count() == 0
     labels = docs.select("doc_id", docs["label"].alias("quality"))
     assert fit_lines(docs.limit(0), labels.limit(0)).states(["a"]).tolist() == [1]
+
+
+def test_latent_space_is_that_of_a_plain_svd(spark):
+    """Cosines of the labelled vectors equal those in the space of a full singular value decomposition, cut at the same rank."""
+    rng = random.Random(6)
+    kinds = ("the quick brown fox of the wood", "BUY NOW!!! 50% off, click $$$ here", "eins zwei drei vier fünf sechs", "a | b | c | 1 | 2 | 3")
+    rows = [(i, " ".join(rng.choice(kinds[i % 4].split()) for _ in range(30)), int(i % 4 in (0, 2))) for i in range(80)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = fit_neighbours(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"), rank=4)
+    taught = sorted(i for i, _, _ in rows if not held(i))
+    x = (np.stack([term_counts(rows[i][1]) for i in taught]).astype(np.float32) * model.weights).astype(float)
+    _, _, right = np.linalg.svd(x, full_matrices=False)
+    low = x @ right[:4].T
+    low /= np.linalg.norm(low, axis=1, keepdims=True)
+    assert np.allclose(model.vectors @ model.vectors.T, low @ low.T, atol=0.02)

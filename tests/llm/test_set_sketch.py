@@ -53,7 +53,7 @@ def fixture_rows():
 
 def test_classes_equal_brute_force(spark):
     rows = fixture_rows()
-    docs = spark.createDataFrame([(i, t, 7, "k") for i, t in rows], "doc_id long, text string, n long, same string").repartition(5)
+    docs = spark.createDataFrame([(i, t, 7, "k") for i, t in rows], "doc_id long, text string, n long, same string").selectExpr("*", "1 AS node", "'b' AS bucket", "2 AS regs", "3 AS component_id", "false AS kept", "4 AS head").repartition(5)
     got = {r["doc_id"]: r for r in near_duplicate_classes(docs).collect()}
     want = brute(rows)
     assert {i: r["component_id"] for i, r in got.items()} == want
