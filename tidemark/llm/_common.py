@@ -161,16 +161,13 @@ def _id_slots(ids: np.ndarray) -> np.ndarray:
 
 
 def _id_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pieces: dict[int, np.ndarray] = {}
+    table = np.zeros(1 << (ID_BITS - 3), np.uint8)
     for batch in batches:
         slots = np.unique(_id_slots(batch.column(0).to_numpy()))
-        for k in np.unique(slots >> np.uint64(ID_PIECE_BITS)).tolist():
-            own = slots[slots >> np.uint64(ID_PIECE_BITS) == k] & np.uint64((1 << ID_PIECE_BITS) - 1)
-            if k not in pieces:
-                pieces[k] = np.zeros(1 << ID_PIECE_BITS, bool)
-            pieces[k][own.astype(np.int64)] = True
-    for k, own in pieces.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(own).tobytes(), 1)], pa.binary())], names=["piece", "bits"])
+        np.bitwise_or.at(table, (slots >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (slots & np.uint64(7)).astype(np.uint8))
+    for k, own in enumerate(table.reshape(-1, 1 << (ID_PIECE_BITS - 3))):
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["piece", "bits"])
 
 
 def _id_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
