@@ -108,6 +108,18 @@ def test_what_only_one_document_holds_stays(spark, tmp_path):
     assert dict(three)[9] == "\n".join(line("number nine", k) for k in range(35)) and dict(two)[22] == "short"
 
 
+def test_batches_for_python_are_bounded(spark, sf_dir):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in (("64m", f"{corpus_pipeline.BATCH_BYTES}b"), ("1m", "1m")):
+            spark.conf.set(key, own)
+            corpus_pipeline.packing_stage(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5), sf_dir)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run_chains_the_stages_and_empty_documents_pass(spark, sf_dir, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_dedup", "benchmark_decontamination", "best_fit_packing"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
