@@ -108,6 +108,26 @@ def test_what_only_one_document_holds_stays(spark, tmp_path):
     assert dict(three)[9] == "\n".join(line("number nine", k) for k in range(35)) and dict(two)[22] == "short"
 
 
+def test_what_is_left_is_compared_as_well(spark, tmp_path):
+    line = lambda who, k: f"{who} has this as line number {k} of its text"
+    own = [f"word{k}" for k in range(100)]
+    texts = [(i, "\n".join(line(f"document {i}", k) for k in range(40))) for i in (1, 2)]
+    # 3 and 4 lose all but one line, to different documents; these lines differ in a word.
+    texts += [(3, texts[0][1] + "\n" + " ".join(own)), (4, texts[1][1] + "\n" + " ".join([*own[:50], "other", *own[51:]]))]
+    _, three = staged(spark, tmp_path, texts)
+    assert {i for i, _ in three} == {1, 2, 3}
+
+
+def test_documents_that_went_before_link_nothing(spark, tmp_path):
+    words = [f"word{k}" for k in range(100)]
+    # 6 is a near copy of 5 and of 7, which are none of each other.
+    texts = [(5, words), (6, [*words[:-8], *(f"six{k}" for k in range(8))]), (7, [*(f"seven{k}" for k in range(8)), *words[8:-8], *(f"six{k}" for k in range(8))])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {i for i, _ in rows(corpus_pipeline.near_copy_stage(spark, docs, str(tmp_path)))} == {5}
+    assert {i for i, _ in rows(corpus_pipeline.near_copy_stage(spark, docs.where("doc_id <> 6"), str(tmp_path)))} == {5, 7}
+
+
 def test_batches_for_python_are_bounded(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
