@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.block_index import BlockIndex, block_page
+from tidemark.operators.block_index import BlockIndex, _posting_rows, block_page
 from tidemark.operators.feed import Filters
 from tidemark.operators.search import ranked, search_count, search_page
 from tidemark.plans import views
@@ -61,6 +61,13 @@ def test_blocks_that_cant_reach_the_page_are_skipped(spark, tmp_path):
     assert len(bounds) == 12 and sorted(bounds)[-2:] == [2, 41]
 
 
+def test_words_move_once(index, notices):
+    """Grouping inside blocks needs no exchange besides the one that brings a block together."""
+    own = index._layers("keys", "layer int, duid string, block long, o int, size int").withColumn("_words", F.array(F.array(F.lit("a"))))
+    plan = _posting_rows(own, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(block" in plan
+
+
 def test_layers_replace_and_take_away(spark, notices, index, tmp_path):
     own = BlockIndex(spark, f"file://{tmp_path}/b")
     number = F.pmod(F.col("duid").cast("long"), F.lit(5))

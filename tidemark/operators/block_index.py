@@ -24,6 +24,8 @@ from tidemark.sources.shared import drop_folder, written
 BLOCK = 256
 #: Blocks that are scored first to get a bound for the others.
 FIRST_BLOCKS = 16
+#: Blocks whose words one task groups, so that it need not spill: some megabytes of text.
+TASK_BLOCKS = 8
 #: Bytes of a row group of the postings: what a query's terms don't touch isn't read.
 ROW_GROUP = 4 << 20
 
@@ -67,9 +69,9 @@ class BlockIndex:
         docs = own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("o", "duid", "category_id", "posted_date", "updated_date", "size"))).alias("docs"))
         self._write(docs, "docs", "layer", layer)
         self._write(own.select("duid", "block", "o", "size").repartitionByRange("duid").sortWithinPartitions("duid"), "keys", "layer", layer)
-        self._write(_posting_rows(own).repartitionByRange("term").sortWithinPartitions("term", "block"), "postings", "layer", layer)
-        added = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+        added = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.count_distinct("block").alias("blocks")).first()
         n, words = added["n"], added["words"]
+        self._write(_posting_rows(own, max(1, added["blocks"] // TASK_BLOCKS)).repartitionByRange("term").sortWithinPartitions("term", "block"), "postings", "layer", layer)
         if self.upto is not None:
             hit = self._layers("keys", _KEYS).join(notices.select("duid").distinct(), "duid", "left_semi")
             before = self.gone()
@@ -209,9 +211,12 @@ def _score(tf: Column, size: Column, idf: float, mean: float) -> Column:
     return F.lit(idf) * (tf * (K1 + 1.0)) / (tf + K1 * (1 - B + B * size / F.lit(mean)))
 
 
-def _posting_rows(own: DataFrame) -> DataFrame:
-    """Rows (term, block, n, max_tf, min_size, entries) of numbered notices with _words."""
-    words = own.select("block", "o", "size", F.posexplode("_words").alias("c", "words")).select("block", "o", "size", "c", F.posexplode("words").alias("p", "term"))
+def _posting_rows(own: DataFrame, tasks: int) -> DataFrame:
+    """Rows (term, block, n, max_tf, min_size, entries) of numbered notices with _words.
+
+    Only arrays of words move, once: a block's notices meet in one of the tasks, and all that is grouped is inside a block.
+    """
+    words = own.select("block", "o", "size", "_words").repartition(tasks, "block").select("block", "o", "size", F.posexplode("_words").alias("c", "words")).select("block", "o", "size", "c", F.posexplode("words").alias("p", "term"))
     fields = words.groupBy("block", "o", "term", "c").agg(F.first("size").alias("size"), F.sort_array(F.collect_list("p")).alias("p"))
     notices = fields.groupBy("block", "term", "o").agg(F.sum(F.size("p")).cast("int").alias("tf"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("c", "p"))).alias("at"))
     rows = notices.groupBy("term", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("size").alias("min_size"), F.sort_array(F.collect_list(F.struct("o", "tf", "size", "at"))).alias("entries"))

@@ -55,14 +55,15 @@ _INDEXES: dict[tuple, BlockIndex] = {}
 def block_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
     """The search index of notices(), built from the documents when a session first asks for it, and anew when they changed.
 
-    Texts are dealt anew before they are tokenised: a small table is often a single row group.
+    Texts of a small table, often a single row group, are dealt anew before they are tokenised; a large one is read in parts.
     """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
     state = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
     key = (spark.sparkContext.applicationId, sf_dir, state.getModificationTime(), state.getLen())
     if key not in _INDEXES:
         index = BlockIndex(spark, new_folder(spark, "index"))
-        index.add(notices(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism))
+        rows, tasks = notices(spark, sf_dir), spark.sparkContext.defaultParallelism
+        index.add(rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks))
         _INDEXES[key] = index
     return _INDEXES[key]
 
