@@ -68,6 +68,11 @@ def test_words_move_once(index, notices):
     assert plan.count("Exchange hashpartitioning") == 1 and "Exchange hashpartitioning(block" in plan
 
 
+def test_places_of_a_phrase_move_in_blocks(index):
+    plan = index._frequencies(None, ["of", "the"], [["of", "the"]])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(layer" in plan and ", o#" not in "".join(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+
+
 def test_layers_replace_and_take_away(spark, notices, index, tmp_path):
     own = BlockIndex(spark, f"file://{tmp_path}/b")
     number = F.pmod(F.col("duid").cast("long"), F.lit(5))

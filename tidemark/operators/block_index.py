@@ -120,6 +120,8 @@ class BlockIndex:
         rows = rows.join(self.gone(), ["layer", "block"], "left")
         gone = F.coalesce("gone", F.expr("cast(array() as array<int>)"))
         plain = all(len(p) == 1 for p in phrases)
+        if not plain:
+            rows = rows.repartition("layer", "block")  # All that follows groups inside blocks: places don't move one by one.
         entry = F.explode(F.filter("entries", lambda e: ~F.array_contains(gone, e["o"]))).alias("e")
         own = rows.select("layer", "block", "term", entry)
         if plain:
