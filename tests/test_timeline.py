@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.history import coalesced, fold_history, state_at
-from tidemark.operators.intervals import at_once, most_at_once, overlap_counts, overlap_pairs
+from tidemark.operators.intervals import _dealt, at_once, most_at_once, overlap_counts, overlap_pairs
 from tidemark.operators.upkeep import VIEWS, Upkeep, batch_of
 from tidemark.plans import views
 
@@ -68,6 +68,22 @@ def test_pairs_once_over_many_bins(spans, width):
     assert sorted(map(tuple, overlap_pairs(df, "i", "s", "e", ["k"], width).collect())) == want
 
 
+def test_pairs_by_length(spans):
+    rows, df = spans
+    own = [r for r in whole(rows) if r[1]]
+    want = sorted((a[1], a[0], b[0], max(a[2], b[2]), min(a[3], b[3])) for a in own for b in own if a[0] < b[0] and a[1] == b[1] and a[2] < b[3] and b[2] < a[3])
+    assert sorted(map(tuple, overlap_pairs(df, "i", "s", "e", ["k"]).collect())) == want
+
+
+def test_what_meets_grows_with_what_overlaps(spark):
+    """10,000 short intervals an instant apart, of which none overlaps another, and a long one over all of them."""
+    begin = F.col("id") * 200_000
+    own = spark.range(10_000).select(F.col("id").alias("_id"), F.timestamp_micros(begin).alias("_s"), F.timestamp_micros(begin + F.when(F.col("id") == 0, 3_000_000_000).otherwise(100_000)).alias("_e"))
+    assert overlap_pairs(own, "_id", "_s", "_e").count() == 9_999
+    touched, begins = _dealt(own, [], None)
+    assert touched.join(begins, ["_w", "_b"]).count() < 4 * 10_000
+
+
 @pytest.mark.parametrize("ranges", [1, 9])
 def test_counts_and_most_at_once(spans, ranges):
     rows, df = spans

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,25 +14,34 @@ def _whole(rows: DataFrame, start: str, end: str) -> DataFrame:
     return rows.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) < F.col(end)))
 
 
-def _bin(instant: Column, width: int) -> Column:
-    return F.floor(F.unix_micros(instant) / F.lit(width * 1_000_000)).cast("long")
+def _dealt(own: DataFrame, by: list[str], width: int | None) -> tuple[DataFrame, DataFrame]:
+    """(by, _w, _b, _id, _s, _e) of intervals in the bins that they touch, and (by, _w, _b, _id2, _s2, _e2) of their beginnings."""
+    # Microseconds of a bin: the greatest power of two up to the length, of which the driver gets a few numbers.
+    length = F.unix_micros("_e") - F.unix_micros("_s")
+    own = own.withColumn("_w", F.lit(width * 1_000_000).cast("long") if width else F.pow(F.lit(2.0), F.length(F.bin(length)) - 1).cast("long"))
+    widths = [width * 1_000_000] if width else [r["_w"] for r in own.select("_w").distinct().collect()]
+    place = lambda micros: F.floor(micros / F.col("_w")).cast("long")
+    touched = own.withColumn("_b", F.explode(F.sequence(place(F.unix_micros("_s")), place(F.unix_micros("_e") - 1))))
+    begins = own.drop("_w").withColumn("_w", F.explode(F.array(*map(F.lit, widths)).cast("array<bigint>"))).withColumn("_b", place(F.unix_micros("_s")))
+    return touched, begins.select(*by, "_w", "_b", *(F.col(c).alias(f"{c}2") for c in own.columns if c.startswith("_") and c not in ("_w", "_b")))
 
 
-def overlap_pairs(rows: DataFrame, id_col: str, start: str, end: str, by: list[str] | None = None, width: int = 3600) -> DataFrame:
+def overlap_pairs(rows: DataFrame, id_col: str, start: str, end: str, by: list[str] | None = None, width: int | None = None, shown: Callable[[str], Column] = F.col) -> DataFrame:
     """(by, first_id, second_id, overlap_from, overlap_to) of pairs of intervals that overlap, each pair once; first_id is the smaller.
 
-    An interval is in each bin of ``width`` seconds that it touches. Pairs meet in bins and count in the one in which their
-    overlap begins, so long intervals over many bins give no pair twice. Empty and unbounded intervals, and rows with a null
-    key, overlap with nothing. Rows of one id are intervals of their own and no pair with each other.
+    An overlap begins where one of the two begins while the other is open. An interval is open in each bin that it touches
+    and begins in one, so a pair meets there and nowhere else. Bins are of ``width`` seconds, or, if that is not given, as
+    long as the greatest power of two up to the interval's length: it is in three of them at most and meets little besides
+    what overlaps it, long or short, and a beginning is looked for once for each such length that there is. Empty and
+    unbounded intervals, and rows with a null key, overlap with nothing. Rows of one id are intervals of their own and no
+    pair with each other. ``shown`` makes what is returned of an instant, once for each interval and not for each pair.
     """
     by = by or []
-    own = _whole(rows, start, end).select(*by, F.col(id_col).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-    last = F.floor((F.unix_micros("_e") - 1) / F.lit(width * 1_000_000)).cast("long")
-    dealt = own.withColumn("_b", F.explode(F.sequence(_bin(F.col("_s"), width), last)))
-    other = dealt.select(*by, "_b", *(F.col(c).alias(f"{c}2") for c in ("_id", "_s", "_e")))
-    begins, ends = F.greatest("_s", "_s2"), F.least("_e", "_e2")
-    met = dealt.join(other, [*by, "_b"]).where((F.col("_id") < F.col("_id2")) & (begins < ends) & (_bin(begins, width) == F.col("_b")))
-    return met.select(*by, F.col("_id").alias("first_id"), F.col("_id2").alias("second_id"), begins.alias("overlap_from"), ends.alias("overlap_to"))
+    own = _whole(rows, start, end).select(*by, F.col(id_col).alias("_id"), F.col(start).alias("_s"), F.col(end).alias("_e"), shown(start).alias("_from"), shown(end).alias("_to"))
+    touched, begins = _dealt(own, by, width)
+    later = (F.col("_s") < F.col("_s2")) | ((F.col("_s") == F.col("_s2")) & (F.col("_id") < F.col("_id2")))
+    met = touched.join(begins, [*by, "_w", "_b"]).where((F.col("_id") != F.col("_id2")) & later & (F.col("_s2") < F.col("_e")))
+    return met.select(*by, F.least("_id", "_id2").alias("first_id"), F.greatest("_id", "_id2").alias("second_id"), F.col("_from2").alias("overlap_from"), F.when(F.col("_e") <= F.col("_e2"), F.col("_to")).otherwise(F.col("_to2")).alias("overlap_to"))
 
 
 def _running(deltas: DataFrame, by: list[str], sums: list[str], ranges: int) -> DataFrame:

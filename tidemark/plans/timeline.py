@@ -66,7 +66,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lease_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the lease: pairs of runs in state running whose times overlap."""
     running = views.runs(spark, sf_dir).where("status = 'running'").select(F.col("run_id").cast("long").alias("run_id"), "started_at", "updated_at")
-    return intervals.overlap_pairs(running, "run_id", "started_at", "updated_at").select("first_id", "second_id", _micros("overlap_from"), _micros("overlap_to"))
+    return intervals.overlap_pairs(running, "run_id", "started_at", "updated_at", shown=_micros)
 
 
 @query(f"WITH {_SPANS}, whole AS (SELECT * FROM spans WHERE s < e) SELECT a.event_id, count(b.event_id) - 1 AS n FROM whole a JOIN whole b ON a.s < b.e AND b.s < a.e GROUP BY a.event_id")
