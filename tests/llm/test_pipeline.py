@@ -1,3 +1,5 @@
+import os
+
 import corpus_pipeline
 import duckdb
 import pytest
@@ -128,6 +130,29 @@ def test_documents_that_went_before_link_nothing(spark, tmp_path):
     assert {i for i, _ in rows(corpus_pipeline.near_copy_stage(spark, docs.where("doc_id <> 6"), str(tmp_path)))} == {5, 7}
 
 
+def test_ids_of_documents_that_went_are_not_taken_for_remains(spark, tmp_path):
+    words = [f"word{k}" for k in range(100)]
+    texts = [(5, words), (5 ^ 1 << 62, [*words[:-8], *(f"six{k}" for k in range(8))]), (7, [*(f"seven{k}" for k in range(8)), *words[8:-8], *(f"six{k}" for k in range(8))])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    own = docs.where("doc_id < 10").withColumn("text", F.concat("text", F.lit("\n"), F.col("doc_id").cast("string")))
+    assert {i for i, _ in rows(corpus_pipeline.near_copy_stage(spark, own, str(tmp_path)))} == {5, 7}
+
+
+def test_near_copies_leave_no_shuffles_and_small_tables_of_ids_on_disk(spark, sf_dir):
+    def held():
+        files = [f.getPath() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())]
+        sent = sum(e.stat().st_size for e in os.scandir(spark.sparkContext._temp_dir))
+        return {f for f in files if "/shuffle_" in f}, sent
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shuffles, sent = held()
+    found = corpus_pipeline.near_copy_stage(spark, docs, sf_dir)
+    more, now = held()
+    assert not more - shuffles and now - sent < 1_000_000
+    assert found.count() > 0
+
+
 def test_batches_for_python_are_bounded(spark, sf_dir):
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)

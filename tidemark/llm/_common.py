@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -144,10 +146,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables that materialize() wrote and that nothing reads any more."""
-    for df in tables:
-        drop_folder(df.sparkSession, df._tidemark_folder)
+def forget(*tables) -> None:
+    """Deletes tables that materialize() wrote, and what maybe_among() sent, when nothing reads them any more."""
+    for own in tables:
+        if isinstance(own, DataFrame):
+            drop_folder(own.sparkSession, own._tidemark_folder)
+        else:
+            own._tidemark_sent.destroy()
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside it Spark deletes the shuffle files of each action as soon as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 #: Bits, as a power of two, of a table that tells which ids may be in a set, and of its pieces.
@@ -180,27 +197,43 @@ def _id_union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["piece", "bits"])
 
 
+class _IdTable:
+    """A table in pieces that stay packed, as they are sent, until a worker first asks for the bits."""
+
+    def __init__(self, pieces: dict[int, bytes]):
+        self.pieces = pieces
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        pieces, self.pieces = self.pieces, {}
+        table = np.zeros((1 << (ID_BITS - ID_PIECE_BITS), 1 << (ID_PIECE_BITS - 3)), np.uint8)
+        for k, own in pieces.items():
+            table[k] = np.frombuffer(zlib.decompress(own), np.uint8)
+        return table.ravel()
+
+
 def maybe_among(ids: DataFrame):
     """A function of a long column that tells whether the id may be among ids (one long column): never false for one that is, null for null.
 
-    Behind it is a table of 2^ID_BITS bits, of fixed size whatever the number of ids: it keeps rows out of a shuffle that
-    decides exactly, and lets more of them through the more ids there are.
+    Behind it is a table of 2^ID_BITS bits, of fixed size in a worker's memory whatever the number of ids: it keeps rows out of a
+    shuffle that decides exactly, and lets more of them through the more ids there are. It is sent packed, because the driver and
+    each executor keep what is sent on disk, until forget() is told that nothing asks it any more.
     """
     spark = ids.sparkSession
     pieces = ids.toDF("id").where("id IS NOT NULL").mapInArrow(_id_pieces, "piece int, bits binary")
     pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "piece").mapInArrow(_id_union, "piece int, bits binary")
-    table = np.zeros((1 << (ID_BITS - ID_PIECE_BITS), 1 << (ID_PIECE_BITS - 3)), np.uint8)
+    packed: dict[int, bytes] = {}
     for batch in pieces.toArrow().to_batches():
-        for k, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            table[k] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    sent = spark.sparkContext.broadcast(table.ravel())
+        packed |= zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    sent = spark.sparkContext.broadcast(_IdTable(packed))
 
     @F.arrow_udf("boolean")
     def among(own: pa.Array) -> pa.Array:
         slots = _id_slots(own.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64)
-        found = sent.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
+        found = sent.value.bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8) & 1
         return pa.array(found.all(0), pa.bool_(), mask=np.asarray(own.is_null()))
 
+    among._tidemark_sent = sent
     return among
 
 

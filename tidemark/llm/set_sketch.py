@@ -209,6 +209,11 @@ def _per_node(rows: DataFrame, partial: Column, total: Callable[[str], Column])
     return salted.join(spread.hint("merge"), ["a", "_s"]).drop("_s")
 
 
+def _texts_where(plain: DataFrame, among: Callable) -> DataFrame:
+    """(node, text): texts that may be a node's, and only these, move from here to the join that decides."""
+    return plain.where(among("doc_id")).withColumnRenamed("doc_id", "node")
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """Those of the pairs (a, b) that are links. A node with many partners is spread over several tasks."""
     counted = _per_node(pairs, F.count(F.lit(1)), F.sum)
@@ -319,7 +324,7 @@ def _blocks(percent: int, bands: int, rows: int, size: int):
     return _by_block(found, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
+def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame, plain: DataFrame, percent: int, bands: int, rows: int, size: int) -> DataFrame:
     """Confirmed links (a, b) between different components that share a bucket of three nodes or more.
 
     A bucket's largest component is not compared with itself: its nodes and the others are put into blocks apart, and
@@ -341,8 +346,12 @@ def _between_components(buckets: DataFrame, labels: DataFrame, nodes: DataFrame,
     spread = spread.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), side.alias("side"), "node", "comp", "head", "n", "regs")
     block = ["bucket", "i", "j"]
     likely = spread.repartition(*block).sortWithinPartitions(*block).mapInArrow(_wanted(percent, bands, rows), spread.schema)
-    asked = materialize(likely, "wanted").join(texts, "node").select(*spread.columns, "text")
-    return asked.repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks(percent, bands, rows, size), "a long, b long")
+    wanted = materialize(likely, "wanted")
+    among = maybe_among(wanted.select("node"))
+    asked = wanted.join(_texts_where(plain, among), "node").select(*spread.columns, "text")
+    more = materialize(asked.repartition(*block).sortWithinPartitions(*block).mapInArrow(_blocks(percent, bands, rows, size), "a long, b long"), "more")
+    forget(wanted, among)
+    return more
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -372,8 +381,9 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).union(roots)
 
 
-def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Returns doc_id, n_shingles, component_id, kept for each row.
+def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """Returns doc_id, n_shingles, component_id, kept for each row; with ``only``, a table of one column of distinct ids, for
+    each row of these documents, as if there were no others.
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets, components are closed
     under links, component_id is the smallest doc_id in it, kept marks that document.
@@ -385,9 +395,16 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
     """
     m, threshold = bands * rows, percent / 100
     plain = documents_of(docs, id_col, text_col)
-    rows_ = materialize(plain.mapInArrow(_sketched(m, size), "doc_id long, n long, same binary, regs binary"), "sketches")
+    sketched = materialize(plain.mapInArrow(_sketched(m, size), "doc_id long, n long, same binary, regs binary"), "sketches")
+    rows_ = sketched.drop("regs")
+    if only is not None:
+        rows_ = rows_.join(only.toDF("doc_id"), "doc_id", "left_semi")
+    rows_ = materialize(rows_, "rows")
     able = rows_.where("doc_id IS NOT NULL AND n > 0")
-    nodes = materialize(able.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("n").alias("n"), F.first("regs").alias("regs")), "nodes")
+    sets = sketched.where("n > 0").groupBy("same").agg(F.first("n").alias("n"), F.first("regs").alias("regs"))
+    nodes = materialize(able.groupBy("same").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).join(sets.hint("merge"), "same"), "nodes")
+    # The registers are kept once.
+    forget(sketched)
     sketches = nodes.select("node", "n", "regs")
     banded = nodes.select("node", "regs").mapInArrow(_banded(bands, rows), "bucket long, node long")
     heads = banded.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("bucket", "head")
@@ -400,16 +417,14 @@ def near_duplicate_classes(docs: DataFrame, percent: int = 85, size: int = SHING
         .mapInArrow(_likely(threshold, m), "a long, b long")
     )
     likely = materialize(likely, "likely")
-    # Only texts that may be a node's move.
-    sharing = buckets.select("node").distinct()
-    among = maybe_among(sharing)
-    texts = materialize(sharing.join(plain.where(among("doc_id")).withColumnRenamed("doc_id", "node"), "node"), "texts")
-    labels = components(_confirm(likely, texts, percent, size))
-    more = materialize(_between_components(buckets, labels, sketches, texts, percent, bands, rows, size), "more")
+    among = maybe_among(likely.select(F.explode(F.array("a", "b"))))
+    labels = components(_confirm(likely, _texts_where(plain, among), percent, size))
+    forget(among)
+    more = _between_components(buckets, labels, sketches, plain, percent, bands, rows, size)
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
-    # Labels are a table of their own now; of the rest only the sketches and nodes are read again.
-    forget(buckets, likely, texts, more)
+    # Labels are a table of their own now; of the rest only the rows and nodes are read again.
+    forget(buckets, likely, more)
     # Equal sets share a node; a document with several texts joins their nodes.
     own = able.select("doc_id", "same").distinct().join(nodes.select("same", "node"), "same").select("doc_id", "node")
     if own.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").limit(1).count():
