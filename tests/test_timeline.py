@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import intervals
 from tidemark.operators.asof import asof_join
 from tidemark.operators.history import coalesced, fold_history, state_at
 from tidemark.operators.intervals import _dealt, at_once, most_at_once, overlap_counts, overlap_pairs
@@ -84,6 +85,39 @@ def test_what_meets_grows_with_what_overlaps(spark):
     assert touched.join(begins, ["_w", "_b"]).count() < 4 * 10_000
 
 
+@pytest.mark.parametrize("held", [3, 20_000])
+def test_pairs_of_whole_numbers(spans, monkeypatch, held):
+    """Ranges, blocks of one instant's beginnings, repeated rows and batches of a few pairs against plain Python."""
+    for name, n in (("HELD", held), ("PAIRS", 7 if held == 3 else 100_000), ("DEALT", 5)):
+        monkeypatch.setattr(intervals, name, n)
+    rows, df = spans
+    own = whole(rows)
+    want = sorted((a[0], b[0], max(a[2], b[2]), min(a[3], b[3])) for a in own for b in own if a[0] < b[0] and a[2] < b[3] and b[2] < a[3])
+    assert sorted(map(tuple, overlap_pairs(df, "i", "s", "e").collect())) == want
+    hot = df.withColumn("s", F.lit(min(r[2] for r in own)))
+    own = whole([(*r[:2], min(r[2] for r in own), r[3]) for r in rows])
+    want = sorted((a[0], b[0], a[2], min(a[3], b[3])) for a in own for b in own if a[0] < b[0])
+    assert sorted(map(tuple, overlap_pairs(hot, "i", "s", "e").collect())) == want
+    assert overlap_pairs(df.limit(0), "i", "s", "e").count() == 0
+
+
+def test_pairs_move_little(spark):
+    """Intervals of five powers of two in length: each moves about twice, without what is shown of its instants."""
+    begin = F.col("id") * 200_000
+    own = spark.range(20_000).select("id", F.timestamp_micros(begin).alias("s"), F.timestamp_micros(begin + 60_000 * F.expr("CAST(pow(2, id % 5) AS BIGINT)")).alias("e"))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("moved", "moved")
+    try:
+        overlap_pairs(own, "id", "s", "e", shown=lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)).write.format("noop").mode("overwrite").save()
+        stages = {s for j in tracker.getJobIdsForGroup("moved") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    known = [tracker.getStageInfo(s) for s in stages]
+    assert any(known)
+    moved = sum(context._jsc.sc().statusStore().lastStageAttempt(i.stageId).shuffleWriteRecords() for i in known if i)
+    assert 20_000 < moved < 3 * 20_000
+
+
 @pytest.mark.parametrize("ranges", [1, 9])
 def test_counts_and_most_at_once(spans, ranges):
     rows, df = spans
